@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collatrix.llm.op6_mix import op6_mix
+from collatrix.llm.op8_secrets import op8_secrets
 
-QUERIES = {"op6_mix": op6_mix}
+QUERIES = {"op6_mix": op6_mix, "op8_secrets": op8_secrets}
 ORACLES: dict[str, str] = {}
