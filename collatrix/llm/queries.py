@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collatrix.llm.op6_mix import op6_mix
 from collatrix.llm.op8_secrets import op8_secrets
+from collatrix.llm.op9_decontaminate import op9_decontaminate
 
-QUERIES = {"op6_mix": op6_mix, "op8_secrets": op8_secrets}
+QUERIES = {"op6_mix": op6_mix, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate}
 ORACLES: dict[str, str] = {}
