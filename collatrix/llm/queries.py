@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collatrix.llm.op5_topk import op5_topk
 from collatrix.llm.op6_mix import op6_mix
+from collatrix.llm.op7_quality import op7_quality
 from collatrix.llm.op8_secrets import op8_secrets
 from collatrix.llm.op9_decontaminate import op9_decontaminate
 
-QUERIES = {"op5_topk": op5_topk, "op6_mix": op6_mix, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate}
+QUERIES = {"op5_topk": op5_topk, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate}
 ORACLES: dict[str, str] = {}
