@@ -29,7 +29,7 @@ SPAN = 8
 FLOOR = 0.5
 #: Longer segments are cut into overlapping windows, so that an insult in one isn't drowned.
 WIDTH, STRIDE = 24, 12
-TOXIC_LANDMARKS, PLAIN_LANDMARKS = 96, 32
+TOXIC_LANDMARKS, PLAIN_LANDMARKS = 128, 32
 #: Labelled texts of each class that landmarks and machine are fitted on at most: those whose ids have the
 #: least hashes.
 TRAIN_ROWS = 2500
@@ -206,33 +206,51 @@ class Machine:
 def landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     """Segments that tell toxic texts from others, unlike one another, and some common plain ones."""
     data, offsets = tk.utf8(pa.array(texts, pa.large_string()))
-    words = tk.Words(data, offsets, tk.NOT_ALNUM)
-    of = tk.owner(words.first, len(words))
-    usable = words.end - words.start >= 4
-    pairs = np.unique(np.stack([words.hash[usable], of[usable].astype(tk.U)]), axis=1)
-    hashes, inverse = np.unique(pairs[0], return_inverse=True)
-    bad = np.bincount(inverse, toxic[pairs[1].astype(np.int64)], len(hashes))
-    good = np.bincount(inverse, ~toxic[pairs[1].astype(np.int64)], len(hashes))
+
+    def chunks() -> Iterator[tuple[tk.Words, np.ndarray, np.ndarray]]:
+        """Words, which of them are long enough, and the texts of those, a chunk at a time."""
+        for lo, hi in tk.chunks(offsets):
+            words = tk.Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], tk.NOT_ALNUM)
+            usable = np.flatnonzero(words.end - words.start >= 4)
+            yield words, usable, lo + tk.owner(words.first, len(words))[usable]
+
+    held = []  # (hash, in a toxic text) once a text
+    for words, usable, of in chunks():
+        order = np.lexsort((words.hash[usable], of))
+        h, t = words.hash[usable][order], of[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+        held.append((h[fresh], toxic[t[fresh]]))
+    hashes, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+    in_toxic = np.concatenate([t for _, t in held])
+    bad, good = np.bincount(inverse, in_toxic, len(hashes)), np.bincount(inverse, ~in_toxic, len(hashes))
     lift = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
-    where = dict(zip(words.hash.tolist(), range(len(words)), strict=True))
-    text_of = lambda h: bytes(words.data[words.start[where[h]] : words.end[where[h]]])[:WIDTH]
+    expected = (bad + good) * toxic.mean()
+    telling = np.flatnonzero((lift > 1.5) & (bad >= 5) & (bad - expected > 4 * np.sqrt(expected)))
+    telling = telling[np.lexsort((hashes[telling], -(bad * lift)[telling]))][: 12 * TOXIC_LANDMARKS]
+    plain = np.flatnonzero(lift < 0.5)
+    plain = plain[np.lexsort((hashes[plain], -(good + bad)[plain]))][: 12 * PLAIN_LANDMARKS]
+    looked_for = np.sort(hashes[np.concatenate([telling, plain])])
+    text_of: dict[int, bytes] = {}
+    for words, usable, _ in chunks():
+        h, index = np.unique(words.hash[usable], return_index=True)
+        for i in np.flatnonzero(np.isin(h, looked_for)):
+            w = usable[index[i]]
+            text_of.setdefault(int(h[i]), words.data[words.start[w] : words.end[w]].tobytes()[:WIDTH])
 
     def unlike(order: np.ndarray, most: int) -> list[bytes]:
-        chosen, space = [], np.zeros((0, 1 << 15), np.float32)
-        for h in hashes[order[: 12 * most]].tolist():
-            own = vectors([text_of(h)])
-            if own.any() and (space @ own[0]).max(initial=0) < 0.85:
-                chosen.append(text_of(h))
-                space = np.concatenate([space, own])
+        chosen, space = [], np.zeros((most, 1 << 15), np.float32)
+        for h in hashes[order].tolist():
+            own = vectors([text_of[h]])[0]
+            if own.any() and (space[: len(chosen)] @ own).max(initial=0) < 0.85:
+                space[len(chosen)] = own
+                chosen.append(text_of[h])
                 if len(chosen) == most:
                     break
         return chosen
 
-    expected = (bad + good) * toxic.mean()
-    telling = np.flatnonzero((lift > 1.5) & (bad >= 3) & (bad - expected > 5 * np.sqrt(expected)))
-    found = unlike(telling[np.lexsort((hashes[telling], -(bad * lift)[telling]))], TOXIC_LANDMARKS)
-    plain = np.flatnonzero(lift < 0.5)
-    return found + [s for s in unlike(plain[np.lexsort((hashes[plain], -(good + bad)[plain]))], PLAIN_LANDMARKS) if s not in found]
+    found = unlike(telling, TOXIC_LANDMARKS)
+    return found + [s for s in unlike(plain, PLAIN_LANDMARKS) if s not in found]
 
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400) -> Machine:
@@ -264,7 +282,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 400) -> Machine:
         w = new
     values = x @ w
     high, low = np.quantile(values[~toxic], 0.998), np.quantile(values[toxic], 0.02)
-    cut = high + 0.3 * (low - high) if low > high else 0.0  # texts with gaps score between the classes
+    cut = high + 0.35 * (low - high) if low > high else 0.0  # texts with gaps score between the classes
     return Machine(strings, root @ w[:-1], float(w[-1] - cut), 4.0)
 
 
