@@ -249,7 +249,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)))
     gone = removed_lines(keyed.select(F.col("_doc").alias("doc"), "text"), min_words, min_near)
     lists = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
-    found = keyed.join(stage(lists, "lines-gone"), "_doc", "left")
+    found = keyed.join(stage(lists, "lines-gone").hint("merge"), "_doc", "left")  # one plan at every size
     split = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(F.arrays_zip(split.alias("t"), F.sequence(F.lit(0), F.size(split) - 1).alias("i")), lambda x: ~F.array_contains("_lines", x["i"]))["t"], "\n")
     changed = F.when(F.col("_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
