@@ -18,7 +18,7 @@ def unique(records: DataFrame, spec: SortSpec) -> DataFrame:
     """
     if spec.distinct or spec.format == "numeric" or (spec.format == "string" and not spec.ignore_case):
         keyed = with_keys(records, spec).withColumn("_u", record_key(spec))
-        first = F.struct(*[c for c in ("_rid", *keyed.columns) if c != "_u"])
+        first = F.struct(*[c for c in keyed.columns if c != "_u"])
         kept = keyed.groupBy("_u").agg(F.min_by(first, "_rid").alias("r"))
         return kept.select(*[F.col(f"r.{c}").alias(c) for c in keyed.columns if c != "_u"])
     rows = positioned(with_keys(records, spec), orders(spec), "unique")
