@@ -1,73 +1,23 @@
-"""Helpers shared by the operators: staged tables in the cluster's shared folder, and safe casts."""
+"""Helpers shared by the operators."""
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_OWN_DIR: dict[str, str] = {}
-_STAGED: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a temporary folder serves a local master (tests); a cluster without the
-    setting is an error, since a machine-local folder would lose files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="collatrix-")
-    return _OWN_DIR[app]
-
-
-def _remove_staged() -> None:
-    for spark, path in _STAGED:
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session may be gone; the folder is scratch space
-            return
-
-
-atexit.register(_remove_staged)
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and a lost
-    executor costs no recomputation. The files are removed when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/collatrix/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstage(df: DataFrame) -> None:
-    """Remove the files of a staged table that nothing will read again."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+from collatrix.staging import shared_dir, stage, table
 
+__all__ = ["UPPER", "as_row", "from_row", "held_out", "map_arrow", "shared_dir", "ship", "stage", "table", "text_or_empty", "with_fields"]
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SHIPPED: set[str] = set()
 
 
@@ -84,14 +34,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def as_row(df: DataFrame, text: str = "text") -> DataFrame:
+    """All columns in one, ``_row``, beside ``text``: whatever they are called, they clash with nothing."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").alias("text"))
+
+
+def from_row(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+
+
+def with_fields(df: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
+    """The schema of the columns ``keep`` of ``df`` and ``more`` (DDL)."""
+    return T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keep], *T.StructType.fromDDL(more).fields])
 
 
 def text_or_empty(col: str | Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.llm import tokens as tk
-from collatrix.llm.common import map_arrow, ship, stage, table
+from collatrix.llm.common import as_row, map_arrow, ship, stage, table
 
 #: Shorter lines are never removed.
 MIN_WORDS = 5
@@ -246,14 +246,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN
     with the lines of each; null ids come last. Null text stays null; a text that loses all its
     lines becomes empty. Empty tables give no rows. Line lists are per document, so bounded by it.
     """
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)))
-    gone = removed_lines(keyed.select(F.col("_doc").alias("doc"), "text"), min_words, min_near)
+    rows = as_row(docs).withColumn("_doc", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NULL_ID)))
+    gone = removed_lines(rows.select(F.col("_doc").alias("doc"), "text"), min_words, min_near)
     lists = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
-    found = keyed.join(stage(lists, "lines-gone").hint("merge"), "_doc", "left")  # one plan at every size
+    found = rows.join(stage(lists, "lines-gone").hint("merge"), "_doc", "left")  # one plan at every size
     split = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(F.arrays_zip(split.alias("t"), F.sequence(F.lit(0), F.size(split) - 1).alias("i")), lambda x: ~F.array_contains("_lines", x["i"]))["t"], "\n")
     changed = F.when(F.col("_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    return found.select(*[changed.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_lines"), F.lit(0)).alias("_removed"))
+    whole = [changed.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    return found.select(*whole, F.coalesce(F.size("_lines"), F.lit(0)).alias("_removed"))
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.llm import tokens as tk
-from collatrix.llm.common import held_out, map_arrow, ship, stage, table
+from collatrix.llm.common import as_row, from_row, held_out, map_arrow, ship, stage, table, with_fields
 
 THRESHOLD = 0.3
 #: Words at which a text's statistics count half.
@@ -169,8 +169,7 @@ def fit(n: np.ndarray, first: np.ndarray, second: np.ndarray, towards: np.ndarra
 
 
 def measure(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(docs.select(*keep, "text"), _measure, f"{schema}, stats array<double>")
+    return map_arrow(docs.select(*keep, "text"), _measure, with_fields(docs, keep, "stats array<double>"))
 
 
 def train(stats: DataFrame, labels: DataFrame) -> Discriminant:
@@ -205,8 +204,7 @@ def score(stats: DataFrame, model: Discriminant, keep: tuple[str, ...]) -> DataF
             got = sent.value.score(np.array(batch.column("stats").flatten()).reshape(-1, d)) if len(batch) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(got)], names=[*keep, "score"])
 
-    schema = ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep)
-    return map_arrow(stats.select(*keep, "stats"), run, f"{schema}, score double")
+    return map_arrow(stats.select(*keep, "stats"), run, with_fields(stats, keep, "score double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -223,13 +221,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
-    names = tuple(docs.columns)
     model = train(stage(measure(docs, ("doc_id",)), "quality-stats"), labels)
-    kept = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_whole"))
-    kept = kept.select(*[c for c in names if c != "text"], "_whole", "text")
-    keys = tuple(c for c in kept.columns if c != "text")
-    found = score(measure(kept, keys), model, keys).filter(F.col("score") >= threshold)
-    return found.select(*[F.col("_whole").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    scored = score(measure(as_row(docs), ("_row",)), model, ("_row",))
+    return from_row(scored.filter(F.col("score") >= threshold), docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.llm import tokens as tk
-from collatrix.llm.common import map_arrow, ship, table
+from collatrix.llm.common import as_row, from_row, map_arrow, ship, table, with_fields
 
 SPAN = 10
 GRAM = 6
@@ -180,7 +180,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     Nothing is shuffled when the benchmark fits one part. Otherwise each part is searched in turn
     and the spans of a row are merged by its number, so results do not depend on the parts.
     """
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]) + ", n_words long, spans array<int>, items array<string>"
+    schema = with_fields(docs, keep, "n_words long, spans array<int>, items array<string>")
     parts = benchmark_parts(benchmark, part_bytes)
     spark = docs.sparkSession
     ship(spark)
@@ -199,7 +199,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
 
 
 def _merge_spans(lists):
-    pair = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) / 2 - 1), lambda i: F.struct(F.get(s, (2 * i).cast("int")).alias("a"), F.get(s, (2 * i + 1).cast("int")).alias("b")))
+    pair = lambda s: F.transform(F.sequence(F.lit(0), (F.size(s) / 2).cast("int") - 1), lambda i: F.struct(F.get(s, (2 * i).cast("int")).alias("a"), F.get(s, (2 * i + 1).cast("int")).alias("b")))
     pairs = F.array_sort(F.flatten(F.transform(lists, lambda s: F.when(F.size(s) > 0, pair(s)).otherwise(F.array().cast("array<struct<a:int,b:int>>")))))
     zero = F.struct(F.lit(-1).alias("to"), F.array().cast("array<int>").alias("out"))
 
@@ -218,10 +218,8 @@ def n_hit(spans: str = "spans"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark span occurs."""
-    names = tuple(c for c in docs.columns if c != "text")
-    kept = docs.withColumn("_text", F.col("text"))
-    found = contaminated_spans(kept, benchmark, (*names, "_text"))
-    return found.filter(F.size("spans") == 0).select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    found = contaminated_spans(as_row(docs), benchmark, ("_row",))
+    return from_row(found.filter(F.size("spans") == 0), docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
