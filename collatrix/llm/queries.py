@@ -12,6 +12,8 @@ from collatrix.llm.op6_mix import op6_mix
 from collatrix.llm.op7_quality import op7_quality
 from collatrix.llm.op8_secrets import op8_secrets
 from collatrix.llm.op9_decontaminate import op9_decontaminate
+from collatrix.llm.oracles import ORACLES
 
 QUERIES = {"op1_urls": op1_urls, "op2_extract": op2_extract, "op3_lines": op3_lines, "op4_jaccard": op4_jaccard, "op5_topk": op5_topk, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
