@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from collatrix.errors import UsageError
 
-CITIES = ("Jakarta", "Bandung", "Surabaya", "Medan", "Semarang", "Makassar", "Denpasar", "Palembang")
+# The cities and the header of made delimited records.
+CITIES = ("Jakarta", "Bandung", "Surabaya", "Medan", "Depok", "Bogor", "Tangerang", "Bekasi")
 CSV_HEADER = "id,idx,city,name"
 MOST_DEMO_ROWS = 1_000_000
 
@@ -16,9 +17,9 @@ def _draw(seed: int, salt: int) -> Column:
     return F.xxhash64(F.col("id"), F.lit(seed or 1), F.lit(salt))
 
 
-def _letters(seed: int, salt: int) -> Column:
-    """1 to 31 letters a-z."""
-    length = F.pmod(_draw(seed, salt), F.lit(31)) + 1
+def _letters(seed: int, salt: int, least: int = 1, most: int = 31) -> Column:
+    """``least`` to ``most`` letters a-z."""
+    length = F.pmod(_draw(seed, salt), F.lit(most - least + 1)) + least
     letter = lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (F.pmod(F.xxhash64(F.col("id"), F.lit(seed or 1), F.lit(salt), i), F.lit(26)) + 1).cast("int"), F.lit(1))
     return F.array_join(F.transform(F.sequence(F.lit(1), length.cast("int")), letter), "")
 
@@ -34,7 +35,7 @@ def generate(spark: SparkSession, rows: int, kind: str, seed: int = 1) -> DataFr
     elif kind == "csv":
         number = F.conv(F.hex(_draw(seed, 0)), 16, 10)
         city = F.get(F.array(*[F.lit(c) for c in CITIES]), F.pmod(_draw(seed, 2), F.lit(len(CITIES))).cast("int"))
-        value = F.concat_ws(",", number, F.col("id").cast("string"), city, _letters(seed, 3))
+        value = F.concat_ws(",", number, F.col("id").cast("string"), city, _letters(seed, 3, 2, 12))
     else:
         raise UsageError("kind is numeric, string or csv")
     zero = F.lit(0)

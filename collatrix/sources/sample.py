@@ -17,7 +17,7 @@ HEAD_BYTES = 256 << 10
 TAIL_BYTES = 64 << 10
 # Delimiters by preference, and words that header cells are made of.
 DELIMITERS = (",", ";", ":", "\t", "|")
-HEADER_WORDS = ("id", "name", "date", "time", "key", "value", "code", "type", "city", "email", "price", "amount", "count", "number", "total", "status", "user", "address", "phone", "nama", "tanggal", "kode", "harga", "jumlah")
+HEADER_WORDS = ("id", "nama", "name", "tanggal", "date", "total", "header", "kolom", "column", "email", "kota", "city")
 #: Rates of the planning estimate.
 MB_PER_MINUTE, LEAST_SECONDS = 120, 2.0
 
@@ -72,11 +72,8 @@ def detect_delimiter(lines: list[str]) -> str:
     best, best_score = ",", 0
     whole = [x for x in lines if balanced(x)]
     for d in DELIMITERS:
-        counts = sorted(len(split_quoted(x, d)) - 1 for x in whole)
-        if not counts:
-            continue
-        middle = counts[len(counts) // 2]
-        if not middle:
+        counts = sorted(len(split_quoted(x, d)) for x in whole)
+        if not counts or (middle := counts[len(counts) // 2]) < 2:
             continue
         score = sum(c == middle for c in counts) * 100 + min(middle, 20)
         if score > best_score:
@@ -93,15 +90,16 @@ def _is_number(text: str) -> bool:
 
 
 def detect_header(lines: list[str], key: int, delimiter: str, numeric: bool) -> bool:
-    """For a number key: the first line has none there, three or more others do and all are numbers. For a
-    text key: a cell of the first line holds a word that headers use."""
-    if not lines:
+    """By the key column alone, so that other text columns mislead nobody. For a number key: the first line
+    has none there, and of the next twenty three or more have one and none has anything else. For a
+    text key: the first line's cell holds a word that headers use."""
+    cells = [f[key].strip() if len(f) > key else "" for f in (split_quoted(x.strip(), delimiter) if delimiter else [x] for x in lines[:21])]
+    if len(cells) < 2 or not cells[0]:
         return False
-    first = split_quoted(lines[0], delimiter)
     if numeric:
-        rest = [f[key] for f in (split_quoted(x, delimiter) for x in lines[1:]) if len(f) > key]
-        return len(first) > key and not _is_number(first[key]) and len(rest) >= 3 and all(map(_is_number, rest))
-    return any(w in cell.lower() for cell in first for w in HEADER_WORDS)
+        rest = [c for c in cells[1:] if c]
+        return not _is_number(cells[0]) and len(rest) >= 3 and all(map(_is_number, rest))
+    return any(w in cells[0].lower() for w in HEADER_WORDS)
 
 
 def resolve(spec: SortSpec) -> SortSpec:
