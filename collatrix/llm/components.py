@@ -24,3 +24,15 @@ def components(links: DataFrame) -> DataFrame:
             return lower.select("node", "label")
         of_label = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
         labels = stage(lower.select("node", "label").join(of_label, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "cc-labels")
+
+
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after ``links`` (a, b) join components of ``labels`` (node, label); nodes that are
+    in neither have no row. Only links between different components are followed."""
+    named = labels.withColumnRenamed("label", "_l")
+    ends = links.join(named.withColumnRenamed("node", "a"), "a", "left").withColumn("la", F.coalesce("_l", "a")).drop("_l")
+    ends = ends.join(named.withColumnRenamed("node", "b"), "b", "left").withColumn("lb", F.coalesce("_l", "b")).drop("_l")
+    ends = stage(ends, "cc-ends")
+    to = components(ends.filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))).toDF("label", "_to")
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")), F.struct(F.col("b").alias("node"), F.col("lb").alias("label")))).alias("e")).select("e.*")
+    return labels.unionByName(fresh).distinct().join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))

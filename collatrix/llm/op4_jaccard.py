@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from collatrix.llm import tokens as tk
 from collatrix.llm.common import map_arrow, ship, stage, table
-from collatrix.llm.components import components
+from collatrix.llm.components import merge_components
 
 WORDS = 5
 #: Shingles in more documents come last in the order; raised if the list would pass FREQUENT_MOST entries.
@@ -29,7 +29,12 @@ FREQUENT_MOST = 4_000_000
 #: Entries of the index, or of the counts, that one group handles.
 GROUP_ENTRIES = 1_000_000
 LEAST_GROUPS = 64
-PIVOTS = 2
+#: Rounds of comparing with pivots, pivots of a list in a round, and pivots that a set is compared with.
+ROUNDS = 3
+PIVOTS = 6
+PROPOSALS = 2
+#: Lists up to this length are compared together with others of their length.
+SHORT_LIST = 32
 #: Nodes up to which a filter is broadcast (24 bytes each); beyond it is an ordinary join.
 BROADCAST_NODES = 1_000_000
 _RESIDUAL = 24
@@ -99,28 +104,33 @@ def _blobs(groups: np.ndarray, columns: list[np.ndarray], names: list[str]) -> p
 
 def _counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents of each shingle in the batch, packed by the top bits of its hash."""
+        """Documents of each shingle in some texts, packed by the top bits of its hash."""
+        def packed() -> pa.RecordBatch:
+            buckets, counts = np.unique(np.concatenate(parts), return_counts=True)
+            low = (buckets & tk.U((1 << _RESIDUAL) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            return _blobs((buckets >> tk.U(_RESIDUAL)).astype(np.int64), [np.ascontiguousarray(low), counts.astype(np.uint16)], ["low", "count"])
+
+        parts, held = [], 0
         for batch in batches:
-            parts = [sets.hash >> tk.U(64 - bits - _RESIDUAL) for _, _, sets in _chunks(batch)]
-            buckets, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, tk.U), np.zeros(0, np.int64))
-            if len(buckets):
-                low = (buckets & tk.U((1 << _RESIDUAL) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-                yield _blobs((buckets >> tk.U(_RESIDUAL)).astype(np.int64), [np.ascontiguousarray(low), counts.astype(np.uint16)], ["low", "count"])
+            for _, _, sets in _chunks(batch):
+                parts.append(sets.hash >> tk.U(64 - bits - _RESIDUAL))
+                held += len(sets.hash)
+                if held > GROUP_ENTRIES:  # so few texts that 16 bits hold their number
+                    yield packed()
+                    parts, held = [], 0
+        if held:
+            yield packed()
 
     return run
 
 
 def _frequent(least: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        low = np.frombuffer(b"".join(rows.low), np.uint8).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
-        total = np.bincount(low, np.frombuffer(b"".join(rows["count"]), np.uint16), 1 << _RESIDUAL) if len(low) > 1 << 18 else None
-        if total is None:
-            low, inverse = np.unique(low, return_inverse=True)
-            total = np.bincount(inverse, np.frombuffer(b"".join(rows["count"]), np.uint16))
-            keep = total > least
-            return pd.DataFrame({"bucket": (key[0] << _RESIDUAL) + low[keep], "n": total[keep].astype(np.int64)})
-        found = np.flatnonzero(total > least)
-        return pd.DataFrame({"bucket": (key[0] << _RESIDUAL) + found, "n": total[found].astype(np.int64)})
+        bytes_ = np.frombuffer(b"".join(rows.low), np.uint8).reshape(-1, 3).astype(np.uint32)
+        low, inverse = np.unique(bytes_[:, 0] | bytes_[:, 1] << 8 | bytes_[:, 2] << 16, return_inverse=True)
+        total = np.bincount(inverse, np.frombuffer(b"".join(rows["count"]), np.uint16))
+        keep = total > least
+        return pd.DataFrame({"bucket": (key[0] << _RESIDUAL) + low[keep].astype(np.int64), "n": total[keep].astype(np.int64)})
 
     return run
 
@@ -194,84 +204,140 @@ def _room(n, i, m, j):
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.array(batch.column(c)).astype(np.int64) for c in ("list", "node", "size", "place")]
+    return [np.array(batch.column(c)).astype(np.int64) for c in ("list", "node", "size", "place", "label", "weight")]
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, turn, pivot, n): how often a pivot of a list is next to a node. Pivots are the least of
-    a list under a few fixed random orders, so the same sets are pivots in many lists."""
-    for batch in batches:
-        key, node, size, place = _columns(batch)
-        if not len(key):
-            continue
-        first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        for turn in range(PIVOTS):
-            draw = tk.mix(node.view(tk.U) + tk.U(turn * 0x9E3779B9 + 1))
-            least = np.minimum.reduceat(draw, first)
-            at = np.flatnonzero(draw == least[of])
-            pivot = np.zeros(len(first), np.int64)
-            pivot[of[at]] = at
-            p = pivot[of]
-            pick = np.flatnonzero((node != node[p]) & _room(size, place, size[p], place[p]))
-            pairs, n = np.unique(np.stack([node[pick], node[p][pick]], 1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(np.full(len(n), turn, np.int32)), pa.array(pairs[:, 1]), pa.array(n)], names=["node", "turn", "pivot", "n"])
+def _star(salt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, pivot, n): in how many lists a pivot is next to a node of another component.
 
+        A pivot is the least, under a random order that is the same for all lists, of the nodes of
+        a list's largest component (``weight`` is its size), so few nodes are pivots and a family
+        of similar sets meets the same ones everywhere."""
+        for batch in batches:
+            key, node, size, place, label, weight = _columns(batch)
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+            heavy = weight == np.maximum.reduceat(weight, first)[of]
+            for turn in range(PIVOTS):
+                draw = np.where(heavy, tk.mix(node.view(tk.U) + tk.U(salt * PIVOTS + turn + 1)) >> tk.U(1), tk.U((1 << 64) - 1))
+                at = np.flatnonzero(draw == np.minimum.reduceat(draw, first)[of])
+                pivot = np.zeros(len(first), np.int64)
+                pivot[of[at]] = at
+                p = pivot[of]
+                pick = np.flatnonzero((label != label[p]) & (4 * np.minimum(size, size[p]) >= 3 * np.maximum(size, size[p])))
+                order = pick[np.lexsort((node[p[pick]], node[pick]))]
+                x, y = node[order], node[p[order]]
+                edge = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(order) else order
+                yield pa.RecordBatch.from_arrays([pa.array(x[edge]), pa.array(y[edge]), pa.array(np.diff(np.append(edge, len(order))))], names=["node", "pivot", "n"])
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, size_a, size_b, n, early) for pairs of different components in the lists, which come
-    sorted: how many lists they share, and how many at places that leave room for a link.
+    return run
 
-    Each list is sorted by size, and a set skips the block of sets too large for it. Long lists are
-    taken in strips, so memory stays bounded."""
-    held: list[np.ndarray] = []
 
-    def pairs_of(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, node, size, place, label = columns
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial overlaps of sets with sets of other components in the lists, which come sorted: of each
+    probing set (node, size) the others' (node, size), how many lists they share, and how many of
+    those at places that leave room for a link, as packed arrays.
+
+    Lists of one short length are taken together. A longer list is sorted by size, and a set skips
+    the block of sets too large for it; such lists are taken in strips, and full buffers are passed
+    on, so memory stays bounded. The set of the smaller component probes."""
+    found: list[np.ndarray] = []
+    rows_found = 0
+
+    def keep(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal rows_found
+        _, node, size, place, label, weight = columns
+        ok = (label[x] != label[y]) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))
+        x, y = x[ok], y[ok]
+        swap = (weight[x] > weight[y]) | ((weight[x] == weight[y]) & (node[x] > node[y]))
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        found.append(np.stack([node[x], size[x], node[y], size[y], _room(size[x], place[x], size[y], place[y])], 1))
+        rows_found += len(x)
+
+    def look(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, node, size, _, label, _ = columns
         first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-        found: list[np.ndarray] = []
-        rows = 0
-        for a, b in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
-            if b - a < 2 or (label[a:b] == label[a]).all():
+        length = np.diff(np.append(first, len(key)))
+        for n in np.unique(length[(length > 1) & (length <= SHORT_LIST)]).tolist():
+            i, j = np.triu_indices(n, 1)
+            starts = first[length == n]
+            step = max(1, (1 << 19) // len(i))
+            for at in range(0, len(starts), step):
+                keep(columns, (starts[at : at + step, None] + i).ravel(), (starts[at : at + step, None] + j).ravel())
+                if rows_found > 1 << 19:
+                    yield packed()
+        for a in first[length > SHORT_LIST].tolist():
+            b = int(np.searchsorted(key, key[a], "right"))
+            if (label[a:b] == label[a]).all():
                 continue
             order = a + np.lexsort((node[a:b], size[a:b]))
-            n, v, i, c = size[order], node[order], place[order], label[order]
-            strip = max(1, (1 << 22) // (b - a))
+            n, strip = size[order], max(1, (1 << 20) // (b - a))
             for at in range(0, b - a, strip):
                 upto = min(b - a, at + strip)
                 reach = int(np.searchsorted(n, n[upto - 1] * 4 // 3, "right"))  # larger sets are skipped
-                left, right = slice(at, upto), slice(at, reach)
-                ok = (np.arange(at, upto)[:, None] < np.arange(at, reach)[None]) & (c[left, None] != c[None, right]) & (4 * n[left, None] >= 3 * n[None, right])
-                x, y = np.nonzero(ok)
-                x, y = x + at, y + at
-                swap = v[x] > v[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                found.append(np.stack([v[x], v[y], n[x], n[y], _room(n[x], i[x], n[y], i[y])], 1))
-                rows += len(x)
-                if rows > 1 << 19:
-                    yield counted(found)
-                    found, rows = [], 0
-        if rows:
-            yield counted(found)
-
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(found)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        edge = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
-        n, early = np.diff(np.append(edge, len(rows))), np.add.reduceat(rows[:, 4], edge)
-        return pa.RecordBatch.from_arrays([*[pa.array(rows[edge, i]) for i in range(4)], pa.array(n), pa.array(early)], names=["a", "b", "size_a", "size_b", "n", "early"])
+                x, y = np.nonzero(np.arange(at, upto)[:, None] < np.arange(at, reach)[None])
+                keep(columns, order[x + at], order[y + at])
+                if rows_found > 1 << 19:
+                    yield packed()
 
+    def packed() -> pa.RecordBatch:
+        nonlocal rows_found
+        rows = np.concatenate(found)
+        found.clear()
+        rows_found = 0
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+        edge = np.flatnonzero(np.append(True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 2] != rows[:-1, 2])))
+        shared, early = np.diff(np.append(edge, len(rows))), np.add.reduceat(rows[:, 4], edge)
+        rows = rows[edge]
+        probe = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+        ends = np.append(probe[1:], len(rows))
+        columns = [rows[:, 2], rows[:, 3].astype(np.int32), shared.astype(np.int32), early.astype(np.int32)]
+        cells = [pa.array([c[a:b].tobytes() for a, b in zip(probe.tolist(), ends.tolist(), strict=True)], pa.binary()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(rows[probe, 0]), pa.array(rows[probe, 1]), *cells], names=["node", "size", "other", "other_size", "shared", "early"])
+
+    for columns in _whole_keys(batches, _columns, []):
+        yield from look(columns)
+    if rows_found:
+        yield packed()
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], columns_of, held: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut so that rows with one value in the first column stay together."""
     for batch in batches:
-        columns = [*_columns(batch), np.array(batch.column("label"))]
+        columns = columns_of(batch)
         if not len(columns[0]):
             continue
         held = [np.concatenate(c) for c in zip(held, columns, strict=True)] if held else columns
-        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on in the next batch
+        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last value may go on in the next batch
         if cut:
-            yield from pairs_of([c[:cut] for c in held])
+            yield [c[:cut] for c in held]
             held = [c[cut:] for c in held]
     if held:
-        yield from pairs_of(held)
+        yield held
+
+
+def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of probing sets, which come sorted, that may still link: behind the prefix of one of the two
+    sets all may be shared, before it only what the lists have shown."""
+
+    def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+        cells = {c: batch.column(c).to_pylist() for c in ("other", "other_size", "shared", "early")}
+        many = np.array([len(c) // 8 for c in cells["other"]], np.int64)
+        joined = lambda name, kind: np.frombuffer(b"".join(cells[name]), kind).astype(np.int64)
+        return [np.repeat(np.array(batch.column("node")), many), np.repeat(np.array(batch.column("size")), many), joined("other", np.int64), *[joined(c, np.int32) for c in ("other_size", "shared", "early")]]
+
+    slices = (batch.slice(at, 256) for batch in batches for at in range(0, len(batch), 256))
+    for columns in _whole_keys(slices, unpacked, []):
+        order = np.lexsort((columns[2], columns[0]))
+        node, n, other, m, shared, early = [c[order] for c in columns]
+        edge = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (other[1:] != other[:-1])))
+        shared, early = np.add.reduceat(shared, edge), np.add.reduceat(early, edge)
+        node, n, other, m = node[edge], n[edge], other[edge], m[edge]
+        keep = (early > 0) & (shared + np.maximum(n - prefix(n), m - prefix(m)) >= overlap_needed(n, m))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, other)[keep]), pa.array(np.maximum(node, other)[keep])], names=["a", "b"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +357,7 @@ def _unpack(cell: bytes) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for at in range(0, len(whole), 256) for part in [whole.slice(at, 256)]):
         keep, memory = [], (None, None)
         for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
             if memory[0] != y:
@@ -307,7 +373,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
     """Those of ``pairs`` (a, b) that link. Sets are made again from the one text that stands for each
     node (``nodes``: node, doc_id, mark), and shipped once a pair."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), f"{tag}-wanted")
+    wanted = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), f"{tag}-wanted")
     small = wanted.count() <= BROADCAST_NODES
     texts = docs.join(F.broadcast(wanted) if small else wanted, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.mark == F.col("_mark")), "left_semi")
     sets = stage(map_arrow(texts.select("text"), _pack, "node long, shingles binary").dropDuplicates(["node"]), f"{tag}-sets")
@@ -315,6 +381,15 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, tag: str) ->
     return stage(map_arrow(both.select("a", "b", "left", "right"), _verify, "a long, b long"), f"{tag}-links")
 
 
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold several components, with each entry's ``label`` and its component's size."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
+    known = lists.select("list", "node", "size", "place").join(labels.join(sizes, "label"), "node", "left")
+    known = known.withColumns({"label": F.coalesce("label", "node"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+    mixed = known.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("list")
+    return known.join(mixed, "list", "left_semi").select("list", "node", "size", "place", "label", "weight").sortWithinPartitions("list")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) as doc_id, n_shingles and component_id.
 
@@ -348,26 +423,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = map_arrow(docs, _entries(last, bits), "group long, low binary, place binary, size binary, node binary")
     lists = stage(entries.groupBy("group").applyInPandas(_lists, "list long, node long, size int, place int"), "near-lists")
 
-    # Pivots: for each set and order the pivot met most often, if that is often enough to be likely.
-    met = map_arrow(lists, _star, "node long, turn int, pivot long, n long").groupBy("node", "turn", "pivot").agg(F.sum("n").alias("n"))
-    best = met.groupBy("node", "turn").agg(F.max(F.struct("n", "pivot")).alias("m"))
-    pairs = stage(best.select(F.least("node", "m.pivot").alias("a"), F.greatest("node", "m.pivot").alias("b")).distinct(), "near-pivots")
-    links = _verified(docs, nodes, pairs, "near-1")
+    # Pivots: in each round, sets not yet in the largest component of some list are compared with the
+    # pivots that they most often stand next to. Sets that link need no comparing with each other.
+    labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    tried = docs.sparkSession.createDataFrame([], "a long, b long")
+    lists = stage(_open(lists, labels), "near-open-0")
+    for turn in range(ROUNDS):
+        met = map_arrow(lists, _star(turn), "node long, pivot long, n long").groupBy("node", "pivot").agg(F.sum("n").alias("n"))
+        pairs = met.select("node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "n").join(tried, ["a", "b"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "a", "b"))
+        pairs = stage(pairs.withColumn("_rank", rank).filter(F.col("_rank") <= PROPOSALS).select("a", "b").distinct(), f"near-pivots-{turn}")
+        tried = tried.unionByName(pairs)
+        labels = stage(merge_components(labels, _verified(docs, nodes, pairs, f"near-{turn}")), f"near-labels-{turn}")
+        lists = stage(_open(lists, labels), f"near-open-{turn + 1}")
 
     # The rest: pairs that share lists but no component yet, and enough of their prefixes.
-    labels = components(links)
-    labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("list")
-    open_lists = labelled.join(mixed, "list", "left_semi").select("list", "node", "size", "place", "label")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rest = map_arrow(open_lists.repartition(parts, "list").sortWithinPartitions("list"), _rest, "a long, b long, size_a long, size_b long, n long, early long")
-    rest = rest.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("n").alias("n"), F.sum("early").alias("early"))
-    need = F.ceil(3 * (F.col("size_a") + F.col("size_b")) / 7)
-    after = F.greatest(F.ceil(F.col("size_a") * 3 / 4), F.ceil(F.col("size_b") * 3 / 4)) - 1  # shingles behind the prefix
-    pairs = stage(rest.filter((F.col("early") > 0) & (F.col("n") + after >= need)).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    links = stage(links.unionByName(_verified(docs, nodes, pairs, "near-2")), "near-links")
-
-    labels = components(links)
+    rest = map_arrow(lists.repartition(parts, "list").sortWithinPartitions("list"), _rest, "node long, size long, other binary, other_size binary, shared binary, early binary")
+    pairs = map_arrow(rest.repartition(parts, "node").sortWithinPartitions("node"), _enough, "a long, b long").distinct()
+    pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-rest")
+    labels = stage(merge_components(labels, _verified(docs, nodes, pairs, "near-last")), "near-labels")
+
     named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least_id = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = stage(named.select("node", "label").join(least_id, "label").select("node", "component_id"), "near-named")
