@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collatrix.llm.op3_lines import MIN_NEAR_WORDS, MIN_WORDS
 from collatrix.llm.op6_mix import BLOCK_TOKENS, CAP, DOCS_PER_SHARD, SEED
 from collatrix.llm.op8_secrets import BASE_RULES, RULES, Rule
 
@@ -92,4 +93,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN places USING (row) LEFT JOIN named USING (row)
 """
 
-ORACLES = {"op5_topk": OP5, "op6_mix": OP6, "op8_secrets": OP8, "op9_decontaminate": OP9}
+_LINE = f"regexp_extract_all({_LOWER.format('line')}, '[^\\x20\\x09-\\x0D]+')"
+OP3 = f"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, {_LINE} AS w FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM raw) WHERE len({_LINE}) >= {MIN_WORDS}),
+d AS (SELECT w, min({{'d': doc_id, 'i': i}}) AS first FROM l GROUP BY w),
+long AS (SELECT w, first, md5(array_to_string(w, ' ')) AS whole FROM d WHERE len(w) >= {MIN_NEAR_WORDS}),
+v AS (SELECT first, j, md5(array_to_string(w[1:j - 1] || w[j + 1:len(w)], ' ')) AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS j FROM long)),
+near AS (
+  SELECT first FROM (SELECT first, min(first) OVER (PARTITION BY rest, j) AS earliest FROM v) WHERE earliest < first
+  UNION SELECT greatest(v.first, long.first) AS first FROM v JOIN long ON v.rest = long.whole WHERE v.first <> long.first
+),
+gone AS (SELECT l.doc_id, l.i FROM l JOIN d USING (w) WHERE d.first <> {{'d': l.doc_id, 'i': l.i}} OR d.first IN (SELECT first FROM near)),
+lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id)
+SELECT doc_id, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, k: NOT list_contains(g, k)), chr(10)) END AS text, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed
+FROM raw LEFT JOIN lists USING (doc_id)
+"""
+
+ORACLES = {"op3_lines": OP3, "op5_topk": OP5, "op6_mix": OP6, "op8_secrets": OP8, "op9_decontaminate": OP9}
