@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from collatrix.operators.verify import violations
 from collatrix.sources import sample
 from collatrix.sources.scan import assemble_multiline
 from collatrix.spec import SortSpec
-from collatrix.staging import table
+from collatrix.staging import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -241,12 +240,12 @@ def watch_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files of customers arrive in a folder; the stream sorts each."""
     from collatrix.streaming.watch import watch
 
-    base = tempfile.mkdtemp(prefix="collatrix-watch-")
+    base = f"{shared_dir(spark).removeprefix('file://')}/collatrix/watch-{uuid.uuid4().hex}"  # a folder that executors see too
     for d in ("in", "out"):
         os.makedirs(f"{base}/{d}")
     for i in (0, 1):
         names = [r.c_name for r in table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 2 == i).select("c_name").toLocalIterator()]
-        with io.open(f"{base}/in/half{i}.txt", "w") as f:
+        with open(f"{base}/in/half{i}.txt", "w") as f:
             f.write("\n".join(reversed(names)))
     watch(spark, f"{base}/in", f"{base}/out", SortSpec(input="-", output="-", format="string"), f"{base}/checkpoint", existing=True).awaitTermination()
     lines = spark.read.text(f"file://{base}/out").select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.col("value").alias("c_name"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 import time
 from dataclasses import asdict
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from collatrix.errors import PreflightError
 from collatrix.spec import SortSpec
 
@@ -18,8 +21,18 @@ TEMP_ENV = "COLLATRIX_TEMP_DIR"
 _FREE = ("resume", "force", "backup", "log_file", "verify", "max_memory", "threads", "split_bytes")
 
 
-def base_dir() -> Path:
-    return Path(os.environ.get(TEMP_ENV) or Path.home() / ".collatrix")
+def base_dir(spark: SparkSession | None = None) -> Path:
+    """Where staged runs are kept: the environment's choice, the cluster's shared folder or, for a local
+    master, the home folder."""
+    if os.environ.get(TEMP_ENV):
+        return Path(os.environ[TEMP_ENV])
+    spark = spark or SparkSession.active()
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return Path(re.sub(r"^file:(//)?", "", found)) / "collatrix-runs"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise PreflightError(f"set spark.checkpoint.dir or {TEMP_ENV} to a folder that all executors share")
+    return Path.home() / ".collatrix"
 
 
 def spec_hash(spec: SortSpec) -> str:
