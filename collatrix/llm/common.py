@@ -18,6 +18,8 @@ from collatrix.staging import shared_dir, stage, table
 __all__ = ["UPPER", "as_row", "from_row", "held_out", "map_arrow", "shared_dir", "ship", "stage", "table", "text_or_empty", "with_fields"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A batch is held by the JVM and by Python, on its way in and out, in every task of an executor.
+BATCH_BYTES, MOST_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -36,13 +38,17 @@ def ship(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    size = spark.conf.get(BATCH_BYTES, None)
+    if size is None or int(size.rstrip("b") if size.rstrip("b").isdigit() else 1 << 40) > MOST_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, str(MOST_BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
-def as_row(df: DataFrame, text: str = "text") -> DataFrame:
-    """All columns in one, ``_row``, beside ``text``: whatever they are called, they clash with nothing."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text}`").alias("text"))
+def as_row(df: DataFrame) -> DataFrame:
+    """All columns in one, ``_row``: whatever they are called, they clash with nothing."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
 def from_row(df: DataFrame, columns: list[str]) -> DataFrame:

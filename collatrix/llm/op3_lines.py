@@ -247,12 +247,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN
     lines becomes empty. Empty tables give no rows. Line lists are per document, so bounded by it.
     """
     rows = as_row(docs).withColumn("_doc", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NULL_ID)))
-    gone = removed_lines(rows.select(F.col("_doc").alias("doc"), "text"), min_words, min_near)
+    gone = removed_lines(rows.select(F.col("_doc").alias("doc"), F.col("_row.text").alias("text")), min_words, min_near)
     lists = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
     found = rows.join(stage(lists, "lines-gone").hint("merge"), "_doc", "left")  # one plan at every size
-    split = F.split("text", "\n", -1)
+    text = F.col("_row.text")
+    split = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(F.arrays_zip(split.alias("t"), F.sequence(F.lit(0), F.size(split) - 1).alias("i")), lambda x: ~F.array_contains("_lines", x["i"]))["t"], "\n")
-    changed = F.when(F.col("_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
+    changed = F.when(F.col("_lines").isNull() | text.isNull(), text).otherwise(kept)
     whole = [changed.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return found.select(*whole, F.coalesce(F.size("_lines"), F.lit(0)).alias("_removed"))
 

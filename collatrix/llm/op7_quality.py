@@ -91,7 +91,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = tk.utf8(batch.column("text"))
+        data, offsets = tk.utf8(tk.text_of(batch))
         keys = [c for c in batch.schema.names if c != "text"]
         for lo, hi in tk.chunks(offsets):
             found = statistics(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -169,7 +169,7 @@ def fit(n: np.ndarray, first: np.ndarray, second: np.ndarray, towards: np.ndarra
 
 
 def measure(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    return map_arrow(docs.select(*keep, "text"), _measure, with_fields(docs, keep, "stats array<double>"))
+    return map_arrow(docs.select(*keep, *([] if "_row" in keep else ["text"])), _measure, with_fields(docs, keep, "stats array<double>"))
 
 
 def train(stats: DataFrame, labels: DataFrame) -> Discriminant:

@@ -117,7 +117,7 @@ def hits(words: tk.Words, index: BenchmarkIndex) -> tuple[np.ndarray, list[tuple
 
 def _scan(index: BenchmarkIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, words in tk.texts_in(batches, "text", tk.NOT_ALNUM):
+        for rows, words in tk.texts_in(batches, tk.NOT_ALNUM):
             n = len(rows)
             of, found = hits(words, index)
             per_text: list[set[int]] = [set() for _ in range(n)]
@@ -187,7 +187,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
 
     def search(rows: DataFrame, part, names) -> DataFrame:
         index = spark.sparkContext.broadcast(BenchmarkIndex([i for i, _ in part], [t for _, t in part]))
-        return map_arrow(rows.select(*names, "text"), lambda batches: _scan(index.value)(batches), schema)
+        return map_arrow(rows.select(*names, *([] if "_row" in names else ["text"])), lambda batches: _scan(index.value)(batches), schema)
 
     if len(parts) == 1:
         return search(docs, parts[0], keep)

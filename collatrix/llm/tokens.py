@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -118,9 +119,14 @@ def owner(first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first)) if n else np.zeros(0, np.int64)
 
 
-def texts_in(batches: Iterator[pa.RecordBatch], name: str, separator: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Slices of the batches with the words of their texts in column ``name``."""
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The column ``text``, or that field of the column ``_row``."""
+    return batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("_row"), "text")
+
+
+def texts_in(batches: Iterator[pa.RecordBatch], separator: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of the batches with the words of their texts."""
     for batch in batches:
-        data, offsets = utf8(batch.column(name))
+        data, offsets = utf8(text_of(batch))
         for lo, hi in chunks(offsets, limit):
             yield batch.slice(lo, hi - lo), Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], separator)
