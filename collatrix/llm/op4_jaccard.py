@@ -33,6 +33,8 @@ LEAST_GROUPS = 64
 ROUNDS = 3
 PIVOTS = 6
 PROPOSALS = 2
+#: A pivot is worth comparing with if it shares one in so many shingles of the prefix.
+LIKELY = 8
 #: Lists up to this length are compared together with others of their length.
 SHORT_LIST = 32
 #: Nodes up to which a filter is broadcast (24 bytes each); beyond it is an ordinary join.
@@ -209,7 +211,7 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def _star(salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, pivot, n): in how many lists a pivot is next to a node of another component.
+        """(node, pivot, size, n): in how many lists a pivot is next to a node of another component.
 
         A pivot is the least, under a random order that is the same for all lists, of the nodes of
         a list's largest component (``weight`` is its size), so few nodes are pivots and a family
@@ -231,7 +233,7 @@ def _star(salt: int):
                 order = pick[np.lexsort((node[p[pick]], node[pick]))]
                 x, y = node[order], node[p[order]]
                 edge = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(order) else order
-                yield pa.RecordBatch.from_arrays([pa.array(x[edge]), pa.array(y[edge]), pa.array(np.diff(np.append(edge, len(order))))], names=["node", "pivot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[edge]), pa.array(y[edge]), pa.array(size[order[edge]]), pa.array(np.diff(np.append(edge, len(order))))], names=["node", "pivot", "size", "n"])
 
     return run
 
@@ -429,7 +431,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = docs.sparkSession.createDataFrame([], "a long, b long")
     lists = stage(_open(lists, labels), "near-open-0")
     for turn in range(ROUNDS):
-        met = map_arrow(lists, _star(turn), "node long, pivot long, n long").groupBy("node", "pivot").agg(F.sum("n").alias("n"))
+        met = map_arrow(lists, _star(turn), "node long, pivot long, size long, n long").groupBy("node", "pivot").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
+        met = met.filter(F.col("n") * LIKELY >= F.col("size") / 4)  # others are left to the exact rest
         pairs = met.select("node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "n").join(tried, ["a", "b"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "a", "b"))
         pairs = stage(pairs.withColumn("_rank", rank).filter(F.col("_rank") <= PROPOSALS).select("a", "b").distinct(), f"near-pivots-{turn}")
