@@ -27,24 +27,29 @@ def fields(value: Column, delimiter: str, quoted: bool = False) -> Column:
 
 def unsigned(text: Column, record: Column, why: str) -> Column:
     """``decimal(20,0)`` of digits with an optional plus sign, 0 to 2**64 - 1; anything else raises."""
+    plain = F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("decimal(20,0)"))  # most keys; no rewriting
     trimmed = F.regexp_replace(text, _BLANK, "")
     number = F.when(trimmed.rlike(r"^[+]?[0-9]+$"), F.regexp_replace(trimmed, r"^[+]?0*(?=[0-9])", "").try_cast("decimal(20,0)"))
-    return F.when(number <= F.lit(MOST_U64).cast("decimal(20,0)"), number).otherwise(bad(why, record).cast("decimal(20,0)"))
+    checked = F.when(number <= F.lit(MOST_U64).cast("decimal(20,0)"), number).otherwise(bad(why, record).cast("decimal(20,0)"))
+    return F.coalesce(plain, checked)
 
 
-def csv_key(value: Column, column: int, spec: SortSpec) -> Column:
-    parts = fields(value, spec.delimiter or ",", spec.quoted_keys)
+def csv_key(value: Column, parts: Column, column: int, spec: SortSpec) -> Column:
     field = F.when(F.size(parts) > column, F.get(parts, F.lit(column))).otherwise(bad(f"no column {column}", value))
     if spec.key_type == "numeric":
         return unsigned(field, value, f"column {column} isn't an unsigned number")
     return F.lower(field) if spec.ignore_case else field
 
 
-def json_key(value: Column, path: str, spec: SortSpec) -> Column:
-    """The scalar at a dotted path of object keys. Missing or invalid raises; JSON null is empty text;
-    arrays and objects are their canonical JSON text."""
+def json_field(value: Column, path: str) -> Column:
+    """The variant at a dotted path of object keys; null if it is missing or the JSON is invalid."""
     steps = "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in path.split("."))
-    found = F.try_variant_get(F.try_parse_json(value), steps, "variant")
+    return F.try_variant_get(F.try_parse_json(value), steps, "variant")
+
+
+def json_key(value: Column, found: Column, path: str, spec: SortSpec) -> Column:
+    """The scalar of a JSON field. Missing or invalid raises; JSON null is empty text; arrays and objects
+    are their canonical JSON text."""
     held = F.when(found.isNotNull(), found).otherwise(F.parse_json(F.when(F.lit(True), bad(f"no field {path}", value)).cast("string")))
     kind = F.schema_of_variant(held)
     text = F.when(F.is_variant_null(held), F.lit("")).otherwise(F.coalesce(F.try_variant_get(held, "$", "string"), F.to_json(held)))
@@ -54,13 +59,21 @@ def json_key(value: Column, path: str, spec: SortSpec) -> Column:
     return F.lower(text) if spec.ignore_case else text
 
 
+def parsed_record(spec: SortSpec) -> Column | None:
+    """What the keys of a record are taken from, to be computed once: its fields, or its JSON field."""
+    if spec.delimited:
+        return fields(F.col("value"), spec.delimiter or ",", spec.quoted_keys)
+    return json_field(F.col("value"), spec.key_field) if spec.format == "jsonl" else None
+
+
 def key_columns(spec: SortSpec) -> dict[str, Column]:
-    """Columns _k0.. of a framed record table (value string, or value binary for numeric)."""
-    value = F.col("value")
+    """Columns _k0.. of a framed record table (value string, or value binary for numeric), with the
+    column ``_parsed`` of ``parsed_record`` where there is one."""
+    value, parsed = F.col("value"), F.col("_parsed")
     if spec.delimited:
-        return {f"_k{i}": csv_key(value, c, spec) for i, c in enumerate(spec.keys)}
+        return {f"_k{i}": csv_key(value, parsed, c, spec) for i, c in enumerate(spec.keys)}
     if spec.format == "jsonl":
-        return {"_k0": json_key(value, spec.key_field, spec)}
+        return {"_k0": json_key(value, parsed, spec.key_field, spec)}
     return {"_k0": F.lower(value) if spec.ignore_case and spec.format == "string" else value}
 
 

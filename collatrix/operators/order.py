@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from collatrix.functions.keys import key_columns, orders
+from collatrix.functions.keys import key_columns, orders, parsed_record
 from collatrix.spec import SortSpec
 from collatrix.staging import stage
 
 
 def with_keys(records: DataFrame, spec: SortSpec) -> DataFrame:
-    return records.withColumns(key_columns(spec))
+    parsed = parsed_record(spec)
+    if parsed is not None:
+        records = records.withColumn("_parsed", parsed)
+    return records.withColumns(key_columns(spec)).drop("_parsed")
 
 
 def sort(records: DataFrame, spec: SortSpec) -> DataFrame:
