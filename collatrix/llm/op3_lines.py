@@ -3,6 +3,9 @@
 Lines are sequences of words, and two are near if one word inserted, deleted or replaced makes them
 equal. Each line that can have a near one emits its variants with one word left out as hashed keys;
 equal variants meet, the edit distance of the lines is verified, and the earliest line stays.
+
+A line's place is (doc, tie, row, line): the id and a hash of the text order the documents, and the
+staged number of the row, with the line number, is the identity, so equal or null ids share no lines.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ BROADCAST_LINES = 2_000_000
 _SECOND = 0xD1342543DE82EF95
 _LENGTH = tk.U(0x2545F4914F6CDD1D)
 _NULL_ID = (1 << 63) - 1
+#: Where a line stands, in this order.
+PLACE = ("doc", "tie", "row", "line")
+_PLACE_TYPES = "doc long, tie long, row long, line int"
 
 
 class Sequences:
@@ -68,8 +74,8 @@ class Lines:
         self.b = np.searchsorted(self.words.start, self.end)
 
 
-def _position(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return tk.mix(tk.mix(doc.astype(np.int64).view(tk.U)) + line.astype(np.int64).view(tk.U))
+def _position(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return tk.mix(tk.mix(row.astype(np.int64).view(tk.U)) + line.astype(np.int64).view(tk.U))
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -85,7 +91,7 @@ def _scan(min_words: int, min_near: int):
         """
         for batch in batches:
             data, offsets = tk.utf8(batch.column("text"))
-            docs = np.array(batch.column("doc"))
+            places = [np.array(batch.column(c)) for c in PLACE[:3]]
             for lo, hi in tk.chunks(offsets):
                 lines = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 pick = np.flatnonzero(lines.b - lines.a >= min_words)
@@ -103,8 +109,8 @@ def _scan(min_words: int, min_near: int):
                 used[near & (n % 2 == 1), 2:] = True
                 sizes = np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [_long(one.hash(a, b)), _long(two.hash(a, b)), pa.array(docs[lo:hi][lines.text[pick]]), pa.array(lines.number[pick].astype(np.int32)), pa.ListArray.from_arrays(sizes, flat[used])],
-                    names=["h1", "h2", "doc", "line", "halves"],
+                    [_long(one.hash(a, b)), _long(two.hash(a, b)), *[pa.array(c[lo:hi][lines.text[pick]]) for c in places], pa.array(lines.number[pick].astype(np.int32)), pa.ListArray.from_arrays(sizes, flat[used])],
+                    names=["h1", "h2", *PLACE, "halves"],
                 )
 
     return run
@@ -116,13 +122,13 @@ def _picked(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.utf8(batch.column("text"))
-            docs = np.array(batch.column("doc"))
+            rows = np.array(batch.column("row"))
             lists = None if wanted else batch.column("lines")
             for lo, hi in tk.chunks(offsets):
                 lines = Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                doc = docs[lo:hi][lines.text]
+                row = rows[lo:hi][lines.text]
                 if wanted:
-                    places, at = wanted.value, _position(doc, lines.number)
+                    places, at = wanted.value, _position(row, lines.number)
                     found = np.searchsorted(places, at)
                     found[found == len(places)] = 0
                     pick = np.flatnonzero(places[found] == at)
@@ -131,38 +137,38 @@ def _picked(wanted):
                     pick = np.array([first[i] + j for i in range(hi - lo) for j in lists[lo + i].as_py()], np.int64)
                 raw = data[offsets[lo] : offsets[hi]]
                 texts = [raw[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(lines.start[pick].tolist(), lines.end[pick].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[pick]), pa.array(lines.number[pick].astype(np.int32)), pa.array(texts, pa.string())], names=["doc", "line", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(row[pick]), pa.array(lines.number[pick].astype(np.int32)), pa.array(texts, pa.string())], names=["row", "line", "text"])
 
     return run
 
 
 def pick_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc, line, text) of the lines at ``places`` (doc, line) in ``docs`` (doc, text)."""
+    """(row, line, text) of the lines at ``places`` (row, line) in ``docs`` (row, text)."""
     ship(docs.sparkSession)
     if places.count() <= BROADCAST_LINES:
         def hashed(batches):
             for b in batches:
-                yield pa.RecordBatch.from_arrays([_long(_position(np.array(b.column("doc")), np.array(b.column("line"))))], names=["at"])
+                yield pa.RecordBatch.from_arrays([_long(_position(np.array(b.column("row")), np.array(b.column("line"))))], names=["at"])
 
-        at = map_arrow(places.select("doc", "line"), hashed, "at long").toPandas()["at"].to_numpy(np.int64).view(tk.U)
+        at = map_arrow(places.select("row", "line"), hashed, "at long").toPandas()["at"].to_numpy(np.int64).view(tk.U)
         if not len(at):
-            return docs.sparkSession.createDataFrame([], "doc long, line int, text string")
+            return docs.sparkSession.createDataFrame([], "row long, line int, text string")
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(at))
-        return map_arrow(docs, _picked(wanted), "doc long, line int, text string")
-    lists = places.groupBy("doc").agg(F.collect_list("line").alias("lines"))
-    return map_arrow(docs.join(lists, "doc"), _picked(None), "doc long, line int, text string")
+        return map_arrow(docs.select("row", "text"), _picked(wanted), "row long, line int, text string")
+    lists = places.groupBy("row").agg(F.collect_list("line").alias("lines"))
+    return map_arrow(docs.select("row", "text").join(lists, "row"), _picked(None), "row long, line int, text string")
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each line, itself (at -1) and, for every word that may be the one that differs, the rest of
-    the line: (key, at, doc, line). A shared first half leaves only words of the second, and so on."""
+    the line: key, at and its place. A shared first half leaves only words of the second, and so on."""
     for batch in batches:
         data, offsets = tk.utf8(batch.column("text"))
-        columns = [np.array(batch.column(c)) for c in ("doc", "line", "first_half", "last_half")]
+        columns = [np.array(batch.column(c)) for c in ("first_half", "last_half", *PLACE)]
         for lo, hi in tk.chunks(offsets, tk.CHUNK_BYTES // 4):
             words = tk.Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], tk.SPACE)
             runs = Sequences(words.hash)
-            doc, line, first_half, last_half = [c[lo:hi] for c in columns]
+            first_half, last_half, *place = [c[lo:hi] for c in columns]
             of = tk.owner(words.first, len(words))
             a, b = words.first[:-1][of], words.first[1:][of]
             i = np.arange(len(words))
@@ -172,7 +178,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.concatenate([runs.hash(words.first[:-1], words.first[1:]), runs.without(a[pick], b[pick], pick)])
             at = np.concatenate([np.full(hi - lo, -1), (i - a)[pick]]).astype(np.int32)
             who = np.concatenate([np.arange(hi - lo), of[pick]])
-            yield pa.RecordBatch.from_arrays([_long(key), pa.array(at), pa.array(doc[who]), pa.array(line[who])], names=["key", "at", "doc", "line"])
+            yield pa.RecordBatch.from_arrays([_long(key), pa.array(at), *[pa.array(c[who]) for c in place]], names=["key", "at", *PLACE])
 
 
 def one_apart(x: list[str], y: list[str]) -> bool:
@@ -198,23 +204,23 @@ def line_words(text: str) -> list[str]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = [one_apart(line_words(x), line_words(y)) for x, y in zip(b.column("text").to_pylist(), b.column("other").to_pylist(), strict=True)]
-        yield b.select(["doc", "line"]).filter(pa.array(good, pa.bool_()))
+        yield b.select(["row", "line"]).filter(pa.array(good, pa.bool_()))
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN_NEAR_WORDS) -> DataFrame:
-    """(doc, line) of the lines to remove from ``docs`` (doc, text): those equal to or one word apart
-    from an earlier line, by (doc, line). Of exact copies the first stands for all."""
-    lines = stage(map_arrow(docs, _scan(min_words, min_near), "h1 long, h2 long, doc long, line int, halves array<long>"), "lines")
-    place = F.struct("doc", "line")
+    """(row, line) of the lines to remove from ``docs`` (doc, tie, row, text; ``row`` is unique): those
+    equal to or one word apart from an earlier line, by place. Of exact copies the first stands for all."""
+    lines = stage(map_arrow(docs, _scan(min_words, min_near), f"h1 long, h2 long, {_PLACE_TYPES}, halves array<long>"), "lines")
+    place = F.struct(*PLACE)
     distinct = stage(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines-distinct")
 
-    halves = distinct.select("first", F.posexplode("halves").alias("which", "half"))
+    halves = distinct.select("first.row", "first.line", F.posexplode("halves").alias("which", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     flag = lambda odd: F.max(F.col("which") % 2 == odd)
-    chosen = halves.join(shared, "half").groupBy("first").agg(flag(0).alias("first_half"), flag(1).alias("last_half"))
-    chosen = stage(chosen.select("first.doc", "first.line", "first_half", "last_half"), "lines-chosen")
-    texts = stage(pick_lines(docs, chosen).join(chosen, ["doc", "line"]).dropDuplicates(["doc", "line"]), "lines-texts")
-    variants = stage(map_arrow(texts, _variants, "key long, at int, doc long, line int"), "lines-variants")
+    chosen = halves.join(shared, "half").groupBy("row", "line").agg(flag(0).alias("first_half"), flag(1).alias("last_half"))
+    chosen = stage(chosen.join(distinct.select("first.*"), ["row", "line"]), "lines-chosen")
+    texts = stage(pick_lines(docs, chosen).join(chosen, ["row", "line"]), "lines-texts")
+    variants = stage(map_arrow(texts, _variants, f"key long, at int, {_PLACE_TYPES}"), "lines-variants")
 
     # Replaced words: lines with one variant at one place are all one word apart from the first of them.
     left_out = variants.filter("at >= 0")
@@ -225,15 +231,15 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = M
     inserted = left_out.join(whole, "key").select(F.greatest(place, "whole").alias("place"), F.least(place, "whole").alias("other"))
     pairs = replaced.unionByName(inserted).filter("place != other").distinct()
 
-    lookup = texts.select("doc", "line", "text")
-    pairs = pairs.select("place.doc", "place.line", F.col("other.doc").alias("doc2"), F.col("other.line").alias("line2"))
-    both = pairs.join(lookup, ["doc", "line"]).join(lookup.toDF("doc2", "line2", "other"), ["doc2", "line2"])
-    near = stage(map_arrow(both.select("doc", "line", "text", "other"), _verify, "doc long, line int").distinct(), "lines-near")
+    lookup = texts.select("row", "line", "text")
+    pairs = pairs.select("place.row", "place.line", F.col("other.row").alias("row2"), F.col("other.line").alias("line2"))
+    both = pairs.join(lookup, ["row", "line"]).join(lookup.toDF("row2", "line2", "other"), ["row2", "line2"])
+    near = stage(map_arrow(both.select("row", "line", "text", "other"), _verify, "row long, line int").distinct(), "lines-near")
 
-    marked = distinct.select("h1", "h2", "n", "first", "first.doc", "first.line").join(near.withColumn("near", F.lit(True)), ["doc", "line"], "left")
-    marked = marked.filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("h1", "h2", "doc", "line").join(marked, ["h1", "h2"]).filter(F.col("near") | (place != F.col("first")))
-    return gone.select("doc", "line")
+    marked = distinct.select("h1", "h2", "n", "first.row", "first.line").join(near.withColumn("near", F.lit(True)), ["row", "line"], "left")
+    marked = marked.filter("n > 1 or near").select("h1", "h2", F.struct("row", "line").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.select("h1", "h2", "row", "line").join(marked, ["h1", "h2"]).filter(F.col("near") | (F.struct("row", "line") != F.col("first")))
+    return gone.select("row", "line")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN_NEAR_WORDS) -> DataFrame:
@@ -242,15 +248,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN
     Lines end at newlines; words are between white space, A-Z lower-cased. A line of ``min_words``
     or more goes if an earlier line, by (doc_id, line number), equals it or, from ``min_near``
     words on, is one word apart; links are not followed further, so in a chain each line but the
-    first goes. Lines of the same document count too. Rows of one doc_id are read as one document
-    with the lines of each; null ids come last. Null text stays null; a text that loses all its
-    lines becomes empty. Empty tables give no rows. Line lists are per document, so bounded by it.
+    first goes. Lines of the same document count too. Every row is a document of its own: rows of
+    one doc_id are ordered by a hash of their text, and null ids come last. Null text stays null; a
+    text that loses all its lines becomes empty. Empty tables give no rows. Rows are staged once, so
+    that their numbers hold. Line lists are per row, so bounded by it.
     """
-    rows = as_row(docs).withColumn("_doc", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NULL_ID)))
-    gone = removed_lines(rows.select(F.col("_doc").alias("doc"), F.col("_row.text").alias("text")), min_words, min_near)
-    lists = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
-    found = rows.join(stage(lists, "lines-gone").hint("merge"), "_doc", "left")  # one plan at every size
+    rows = stage(as_row(docs).withColumn("_n", F.monotonically_increasing_id()), "lines-rows")
     text = F.col("_row.text")
+    doc = F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NULL_ID))
+    gone = removed_lines(rows.select(doc.alias("doc"), F.xxhash64(text).alias("tie"), F.col("_n").alias("row"), text.alias("text")), min_words, min_near)
+    lists = gone.groupBy(F.col("row").alias("_n")).agg(F.collect_set("line").alias("_lines"))
+    found = rows.join(stage(lists, "lines-gone").hint("merge"), "_n", "left")  # one plan at every size
     split = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(F.arrays_zip(split.alias("t"), F.sequence(F.lit(0), F.size(split) - 1).alias("i")), lambda x: ~F.array_contains("_lines", x["i"]))["t"], "\n")
     changed = F.when(F.col("_lines").isNull() | text.isNull(), text).otherwise(kept)

@@ -186,6 +186,28 @@ def test_lines(spark, texts, empty, monkeypatch, broadcast):
     assert o.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lines_of_rows_with_one_id(spark, monkeypatch, broadcast):
+    from collatrix.llm import op3_lines as o
+
+    if not broadcast:
+        monkeypatch.setattr(o, "BROADCAST_LINES", -1)
+    line = lambda k, n=9: " ".join(f"{k}{i}" for i in range(n))
+    first, near = line("a"), line("a", 8) + " other"
+    rows = [(1, first)]
+    rows += [(None, f"{line('b')}\n{line('c')}\n{line('d')}"), (None, f"{line('e')}\n{line('f')}\n{first}"), (None, f"{line('g')}\n{near}\n{line('h')}")]
+    rows += [(5, f"{line('p')}\n{line('q')}")] * 3 + [(5, f"{line('r')}\n{line('s')}\n{line('p')}")]
+    rows += [(None, line("z"))] * 40
+    got = [(r.doc_id, r.text, r._removed) for r in o.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    expected = [(1, first, 0), (None, rows[1][1], 0), (None, f"{line('e')}\n{line('f')}", 1), (None, f"{line('g')}\n{line('h')}", 1), (None, line("z"), 0)]
+    expected += [(5, "", 2)] * 2 + [(None, "", 1)] * 39
+    fives = [x for x in got if x[0] == 5]
+    assert sorted(map(str, expected)) == sorted(str(x) for x in got if x not in fives or x == (5, "", 2))
+    both = {(5, f"{line('p')}\n{line('q')}", 0), (5, f"{line('r')}\n{line('s')}", 1)}  # the order of the two texts is that of their hashes
+    other = {(5, line("q"), 1), (5, f"{line('r')}\n{line('s')}\n{line('p')}", 0)}
+    assert len(fives) == 4 and {x for x in fives if x[1]} in (both, other)
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 
