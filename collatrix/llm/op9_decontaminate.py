@@ -9,6 +9,7 @@ runs around them, which are looked up exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.llm import tokens as tk
-from collatrix.llm.common import as_row, from_row, map_arrow, ship, table, with_fields
+from collatrix.llm.common import as_row, from_row, map_arrow, ship, stage, table, with_fields
 
 SPAN = 10
 GRAM = 6
 WINDOW = SPAN - GRAM + 1
 #: Benchmark bytes that one broadcast index may cover; a larger benchmark is taken in several parts.
 PART_BYTES = 32 << 20
+_NUMBER = "_leaks_number"
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -177,25 +179,28 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     match. Repeated rows give repeated results. Empty tables give no rows, or no hits. Equality is
     that of 64-bit hashes of word runs.
 
-    Nothing is shuffled when the benchmark fits one part. Otherwise each part is searched in turn
-    and the spans of a row are merged by its number, so results do not depend on the parts.
+    Nothing is shuffled when the benchmark fits one part. Otherwise the rows are staged with a
+    number each, every part is searched in turn and the spans of a row are merged by its number, so
+    results do not depend on the parts.
     """
-    schema = with_fields(docs, keep, "n_words long, spans array<int>, items array<string>")
+    more = "n_words long, spans array<int>, items array<string>"
     parts = benchmark_parts(benchmark, part_bytes)
     spark = docs.sparkSession
     ship(spark)
 
     def search(rows: DataFrame, part, names) -> DataFrame:
         index = spark.sparkContext.broadcast(BenchmarkIndex([i for i, _ in part], [t for _, t in part]))
-        return map_arrow(rows.select(*names, *([] if "_row" in names else ["text"])), lambda batches: _scan(index.value)(batches), schema)
+        return map_arrow(rows, lambda batches: _scan(index.value)(batches), with_fields(rows, names, more))
 
+    rows = docs.select(*keep, *([] if "_row" in keep else ["text"]))
     if len(parts) == 1:
-        return search(docs, parts[0], keep)
-    found = None
-    for part in parts:
-        found = search(docs, part, keep) if found is None else found.unionByName(search(docs, part, keep))
-    merged = found.groupBy(*keep, "n_words").agg(F.flatten(F.collect_list("items")).alias("items"), F.collect_list("spans").alias("_all"))
-    return merged.select(*keep, "n_words", _merge_spans(F.col("_all")).alias("spans"), F.array_distinct("items").alias("items"))
+        return search(rows, parts[0], keep)
+    rows = stage(rows.withColumn(_NUMBER, F.monotonically_increasing_id()), "leaks-rows")
+    texts = rows.select(_NUMBER, F.col("_row.text" if "_row" in keep else "text").alias("text"))
+    found = reduce(DataFrame.unionByName, [search(texts, part, (_NUMBER,)) for part in parts])
+    merged = found.groupBy(_NUMBER).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.collect_list("spans").alias("_all"))
+    merged = merged.select(_NUMBER, "n_words", _merge_spans(F.col("_all")).alias("spans"), F.array_distinct("items").alias("items"))
+    return rows.select(_NUMBER, *keep).join(merged, _NUMBER).select(*keep, "n_words", "spans", "items")
 
 
 def _merge_spans(lists):
@@ -216,9 +221,9 @@ def n_hit(spans: str = "spans"):
     return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, x: a + x).cast("long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark span occurs."""
-    found = contaminated_spans(as_row(docs), benchmark, ("_row",))
+    found = contaminated_spans(as_row(docs), benchmark, ("_row",), part_bytes)
     return from_row(found.filter(F.size("spans") == 0), docs.columns)
 
 

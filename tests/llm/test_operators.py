@@ -453,6 +453,20 @@ def test_contamination(spark, texts, empty, part_bytes):
         assert {r.n_words for r in contaminated_spans(df.filter("doc_id = 5"), benchmark.limit(0)).collect()} == {5}
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 40])
+def test_contamination_keeps_every_row(spark, part_bytes):
+    from collatrix.llm.op9_decontaminate import contaminated_spans, decontaminate
+
+    benchmark = spark.createDataFrame([("a", "one tiny item"), ("b", "some other item")], "item_id string, text string")
+    rows = [(None, "one tiny item"), (None, "quite clean text"), (4, "x one tiny item"), (4, "x some other item"), (4, "three clean words")] + [(None, "three clean words")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [(r.doc_id, r.n_words, r.spans, r["items"]) for r in contaminated_spans(df, benchmark, part_bytes=part_bytes).collect()]
+    expected = [(None, 3, [0, 3], ["a"]), (4, 4, [1, 4], ["a"]), (4, 4, [1, 4], ["b"]), (4, 3, [], [])] + [(None, 3, [], [])] * 4
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+    clean = [(r.doc_id, r.text) for r in decontaminate(df, benchmark, part_bytes).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, [rows[1], *rows[4:]]))
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
