@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from collatrix.llm import tokens as tk
-from collatrix.llm.common import map_arrow, ship, stage, table
+from collatrix.llm.common import as_row, from_row, map_arrow, ship, stage, table
 from collatrix.llm.components import merge_components
 
 WORDS = 5
@@ -392,20 +392,11 @@ def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed, "list", "left_semi").select("list", "node", "size", "place", "label", "weight").sortWithinPartitions("list")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text) as doc_id, n_shingles and component_id.
-
-    Words are between white space, A-Z lower-cased. A set holds the distinct shingles of 5 words, or
-    the whole sequence of fewer; two rows link if 100 * intersection >= 75 * union, and
-    component_id is the least doc_id that links lead to. Rows without words (null and empty texts)
-    have an empty set and link with nothing. Rows with null ids link like others but name no
-    component, unless there is no other id; repeated rows get equal results. Empty tables give no
-    rows; other columns are ignored. All sets are compared by 64-bit hashes of shingles, those of a
-    pair by 40 bits, and a set is known by a 64-bit hash of its own.
-    """
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text, mark): each row as doc_id, mark, n and node; and each node as node,
+    the doc_id and mark of the row that stands for it, and the label of its component."""
     ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sizes = stage(map_arrow(docs, _sizes, f"doc_id {kind}, mark long, n long, node long"), "near-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -447,7 +438,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-rest")
     labels = stage(merge_components(labels, _verified(docs, nodes, pairs, "near-last")), "near-labels")
 
-    named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    return sizes, nodes.join(labels, "node", "left").select("node", "doc_id", "mark", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text) as doc_id, n_shingles and component_id.
+
+    Words are between white space, A-Z lower-cased. A set holds the distinct shingles of 5 words, or
+    the whole sequence of fewer; two rows link if 100 * intersection >= 75 * union, and
+    component_id is the least doc_id that links lead to. Rows without words (null and empty texts)
+    have an empty set and link with nothing. Rows with null ids link like others but name no
+    component, unless there is no other id; repeated rows get equal results. Empty tables give no
+    rows; other columns are ignored. All sets are compared by 64-bit hashes of shingles, those of a
+    pair by 40 bits, and a set is known by a 64-bit hash of its own.
+    """
+    sizes, named = _components(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")))
     least_id = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = stage(named.select("node", "label").join(least_id, "label").select("node", "component_id"), "near-named")
     found = sizes.select("doc_id", "n", "node").join(named, "node", "left")
@@ -455,12 +460,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component: those of the least doc_id.
-
-    Rows of one doc_id stay together; rows with null ids stay only where they link with no other."""
-    found = near_duplicates(docs)
-    kept = stage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near-kept")
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, all columns, less those that link with one that stays: of each component one
+    row, that of the least doc_id (null ids last) and then of the least hash of its text.
+
+    Rows without words link with nothing, so all of them stay. Of rows with one id and one text,
+    any may be the one."""
+    rows = as_row(docs).withColumns({"_id": F.col("_row.doc_id"), "_mark": F.xxhash64("_row.text")})
+    sizes, named = _components(rows.select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_mark").alias("mark")))
+    stands = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark")
+    copies = sizes.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    same = copies.doc_id.eqNullSafe(stands.doc_id) & (copies.mark == stands.mark)
+    kept = copies.join(stands.withColumn("stands", F.lit(True)), same, "left").filter("stands or n = 0")
+    kept = stage(kept.select(copies.doc_id.alias("_kept_id"), copies.mark.alias("_kept_mark"), F.expr("n > 0 and copies > 1").alias("many")), "near-kept")
+
+    def those(which: DataFrame) -> DataFrame:
+        return rows.join(which, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
+
+    found = those(kept.filter("not many")).select("_row")
+    if kept.filter("many").limit(1).count():  # only these are shuffled, one row a task after combining
+        found = found.unionByName(those(kept.filter("many")).groupBy("_id", "_mark").agg(F.first("_row").alias("_row")).select("_row"))
+    return from_row(found, docs.columns)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,6 +255,22 @@ def test_jaccard_nulls_and_repeats(spark):
     assert got == sorted([(None, 2, 2), (5, 2, 2), (5, 2, 2), (None, 1, None), (2, 2, 2), (9, 0, 9)], key=str)
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    from collatrix.llm.op4_jaccard import one_of_each
+
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, "a b c d e f")] * 20 + [(5, "k l m n o p")] * 3 + [(7, "K l m n o p"), (None, "k L m n o p")]
+    rows += [(2, long), (2, long + " more"), (2, "of its own is this text"), (None, "only here is this text"), (9, None), (9, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS _id", "'y' AS _row").repartition(3)
+    got = one_of_each(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    twos = [x for x in kept if x[0] == 2 and x[1].startswith("w0")]
+    assert len(twos) == 1 and twos[0] in rows
+    expected = [(None, "a b c d e f"), (5, "k l m n o p"), (2, "of its own is this text"), (None, "only here is this text"), (9, None), (9, None), (None, "")]
+    assert sorted(map(str, kept)) == sorted(map(str, expected + twos))
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
