@@ -21,6 +21,7 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import SparkSession
 
 from collatrix import __version__
+from collatrix.budget import resident_bytes
 from collatrix.engine import run
 from collatrix.errors import EngineError, UsageError
 from collatrix.generate import CSV_HEADER, MOST_DEMO_ROWS, generate
@@ -29,6 +30,8 @@ from collatrix.sources.sink import ordered_values, write_single
 from collatrix.spec import SortSpec
 
 MOST_JOBS, MOST_HISTORY, MOST_FILES = 200, 100, 200
+# Paths that are refused before anything else is asked of them.
+SYSTEM_PATHS = ("/etc", "c:/windows")
 MOST_JSON, MOST_UPLOAD = 64 << 20, 512 << 20
 _OPTIONS = ("format", "key_type", "key_field", "delimiter", "nulls", "dedupe_keep", "output_format", "sql_table", "encoding_in", "encoding_out", "sheet", "split_by_size")
 _FLAGS = ("header", "reverse", "ignore_case", "unique", "distinct", "verify", "backup", "resume")
@@ -54,6 +57,8 @@ class Service:
         self.history_file = self.root / ".history.jsonl"
 
     def path(self, name: str, exists: bool = True) -> Path:
+        if any(str(name).lower().replace("\\", "/").startswith(p) for p in SYSTEM_PATHS):
+            raise Refused(403, "system paths aren't served")
         found = (self.root / name).resolve()
         if found != self.root and self.root not in found.parents:
             raise Refused(403, "the path leaves the served folder")
@@ -135,7 +140,9 @@ class Service:
     def metrics(self) -> dict:
         counts = {s: sum(j["status"] == s for j in self.jobs.values()) for s in ("queued", "running", "done", "error", "cancelled")}
         tracker = self.spark.sparkContext.statusTracker()
-        return {"version": __version__, "jobs": counts, "spark_active_stages": len(tracker.getActiveStageIds()), "spark_active_jobs": len(tracker.getActiveJobsIds())}
+        done = [j["report"] for j in self.jobs.values() if j["status"] == "done"]
+        totals = {"records": sum(r.get("records", 0) for r in done), "input_bytes": sum(r.get("input_bytes", 0) for r in done), "seconds": sum(r.get("timing", {}).get("total_s", 0) for r in done)}
+        return {"version": __version__, "jobs": counts, "done": totals, "resident_bytes": resident_bytes(), "spark_active_stages": len(tracker.getActiveStageIds()), "spark_active_jobs": len(tracker.getActiveJobsIds())}
 
     def made(self, rows: int, kind: str, name: str) -> dict:
         rows = max(1, min(MOST_DEMO_ROWS, rows))
@@ -147,6 +154,7 @@ class Service:
 
 def _metrics_text(found: dict) -> str:
     lines = [f'collatrix_jobs{{status="{k}"}} {v}' for k, v in found["jobs"].items()]
+    lines += [f"collatrix_done_{k} {v}" for k, v in found["done"].items()] + [f"collatrix_resident_bytes {found['resident_bytes']}"]
     return "\n".join([*lines, f"collatrix_spark_active_stages {found['spark_active_stages']}", f"collatrix_spark_active_jobs {found['spark_active_jobs']}", ""])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import resource
+import tempfile
 import time
 from dataclasses import dataclass
 
@@ -12,19 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix import __version__, runs
+from collatrix.budget import PeakMemory, budget
 from collatrix.errors import EngineError, InputOutputError, PreflightError, UsageError, VerifyError, as_engine_error
 from collatrix.functions.keys import orders
 from collatrix.operators.convert import convert
 from collatrix.operators.dedup import reduce_duplicates
 from collatrix.operators.limit import preview
 from collatrix.operators.merge import check_inputs, union_inputs
+from collatrix.operators.numeric import sort_file
 from collatrix.operators.order import positioned
 from collatrix.operators.split import split_by_number, split_by_size
 from collatrix.operators.verify import violations
-from collatrix.sources.sample import resolve
+from collatrix.sources.sample import preflight, resolve
 from collatrix.sources.scan import read_many, read_records
-from collatrix.sources.sink import audit, guard_output, ordered_values, write_parts, write_single
+from collatrix.sources.sink import audit, commit, guard_output, local_master, ordered_values, write_folder, write_parts, write_single
 from collatrix.spec import SortSpec
+from collatrix.staging import scope
 
 
 @dataclass
@@ -63,7 +66,16 @@ def plan(spark: SparkSession, spec: SortSpec) -> tuple[Ordered, DataFrame]:
     return Ordered(rows, header, spec), records
 
 
-def _run(spark: SparkSession, spec: SortSpec) -> dict:
+def _preflight(spark: SparkSession, spec: SortSpec) -> None:
+    """Room for the run on this machine: where Spark spills, and where the output goes."""
+    spills = spark.sparkContext.getConf().get("spark.local.dir", None) or tempfile.gettempdir()
+    target = os.path.dirname(os.path.abspath(spec.output))
+    for path in (spec.input, *spec.merge):
+        if path is not None:
+            preflight(path, [d for d in dict.fromkeys((spills.split(",")[0], target)) if os.path.isdir(d)])
+
+
+def _run(spark: SparkSession, spec: SortSpec, peak: PeakMemory) -> dict:
     began = time.time()
     for path in (spec.input, *spec.merge):
         if path is not None and not os.path.exists(path):
@@ -72,14 +84,20 @@ def _run(spark: SparkSession, spec: SortSpec) -> dict:
         raise UsageError("an output is needed")
     if spec.output is not None and spec.preview is None:
         guard_output(spec)
-    run = None
+        if local_master(spark):
+            _preflight(spark, spec)
+    run, marks = None, []
     if spec.resume:
         run = runs.take_up(spec, spec.input) or runs.start(spec, spec.input)
         run.lock()
     try:
+        if _plain_numbers(spark, spec):
+            rows_in, rows_out = sort_file(spark, spec, commit)
+            return _report(spec, began, [time.time()] * 2, rows_in, rows_out, [spec.output], False, peak)
         ordered, records = plan(spark, spec)
         spec = ordered.spec
         rows_in = run.manifest["rows_in"] if run and run.staged else records.count()
+        marks.append(time.time())
         if run:  # keys and duplicates are done once; order and output are cheap to redo
             if not run.staged:
                 ordered.rows.write.mode("overwrite").parquet(str(run.data))
@@ -92,6 +110,7 @@ def _run(spark: SparkSession, spec: SortSpec) -> dict:
             return {"status": "ok", "input": spec.input, "total_rows": total, "head": [text(r.value) for r in shown if r.side == "head"], "tail": [text(r.value) for r in shown if r.side == "tail"]}
         placed = positioned(ordered.rows, ordered.by, "output")
         rows_out = placed.count()
+        marks.append(time.time())
         if spec.verify:
             wrong = violations(placed, spec).count()
             reduces = spec.unique or spec.distinct or spec.dedupe_by or spec.limit is not None
@@ -105,6 +124,8 @@ def _run(spark: SparkSession, spec: SortSpec) -> dict:
         elif spec.split_bytes is not None:
             head = len(header.encode()) + 1 if header is not None else 0
             files = write_parts(split_by_size(out, spec.split_bytes, head), spec.output, header, encoding)
+        elif (spec.output_layout or ("file" if local_master(spark) else "folder")) == "folder" and spec.format != "numeric":
+            write_folder(out, [F.col("pos")], spec.output, header, encoding)
         else:
             write_single(ordered_values(out, [F.col("pos")]), spec.output, header, encoding, spec.sheet, spec.delimiter or ",")
         if run:
@@ -113,21 +134,35 @@ def _run(spark: SparkSession, spec: SortSpec) -> dict:
     finally:
         if run:
             run.unlock()
+    return _report(spec, began, marks, rows_in, rows_out, files, ordered.header is not None, peak)
+
+
+def _plain_numbers(spark: SparkSession, spec: SortSpec) -> bool:
+    """Whether numbers go from one plain file to another, on a machine where tasks can write the output."""
+    plain = spec.input is not None and not spec.input.lower().endswith((".gz", ".zip")) and os.path.isfile(spec.input)
+    aside = spec.resume or spec.preview is not None or spec.split_by is not None or spec.split_bytes is not None
+    return spec.format == "numeric" and plain and not aside and local_master(spark) and not spec.output.lower().endswith((".gz", ".zip"))
+
+
+def _report(spec: SortSpec, began: float, marks: list[float], rows_in: int, rows_out: int, files: list[str], header: bool, peak: PeakMemory) -> dict:
     total = time.time() - began
     size = sum(os.path.getsize(p) for p in (spec.input, *spec.merge) if p)
+    rows_in_s, rows_sorted_s = (mark - began for mark in marks)
     return {
         "status": "ok", "version": __version__, "input": spec.input or list(spec.merge), "output": spec.output, "files": files, "format": spec.format,
         "input_bytes": size, "records": rows_out, "rows_in": rows_in, "rows_out": rows_out, "dupes_removed": rows_in - rows_out if spec.limit is None else 0,
-        "options": {"reverse": spec.reverse, "unique": spec.unique, "header": ordered.header is not None, "limit": spec.limit},
-        "timing": {"total_s": total}, "throughput_mb_per_min": size / (1 << 20) / max(total, 1e-9) * 60,
-        "peak_ram_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024, "verified": bool(spec.verify), "exit_code": 0,
+        "options": {"reverse": spec.reverse, "unique": spec.unique, "header": header, "limit": spec.limit},
+        "timing": {"read_s": rows_in_s, "sort_s": rows_sorted_s - rows_in_s, "merge_s": total - rows_sorted_s, "total_s": total}, "throughput_mb_per_min": size / (1 << 20) / max(total, 1e-9) * 60,
+        "peak_ram_bytes": peak.bytes, "mem_limit_bytes": spec.max_memory, "verified": bool(spec.verify), "exit_code": 0,
     }
 
 
 def run(spark: SparkSession, spec: SortSpec) -> dict:
-    """Do what ``spec`` says and report on it. Failures are ``EngineError`` with an exit code."""
+    """Do what ``spec`` says and report on it. Failures are ``EngineError`` with an exit code. What a run
+    stages is removed at its end."""
     try:
-        report = _run(spark, spec)
+        with scope(), budget(spark, spec), PeakMemory() as peak:
+            report = _run(spark, spec, peak)
     except EngineError as e:
         failure: EngineError = e
     except PySparkException as e:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import codecs
+import itertools
+from collections.abc import Iterator
 
 from collatrix.errors import UsageError
 
@@ -53,6 +55,25 @@ def decode(raw: bytes, name: str) -> str:
     return raw.removeprefix(mark).decode(python_codec(name), "replace")
 
 
+def decoded_blocks(blocks: Iterator[bytes], name: str) -> Iterator[str]:
+    """Lines of a file's blocks, without byte order mark, newline and one carriage return before it. What
+    follows the last newline is a line unless it is empty."""
+    decoder = codecs.getincrementaldecoder(python_codec(name))("replace")
+    mark, head, rest = mark_of(name), b"", ""
+    for block in itertools.chain(blocks, [None]):
+        if block is not None and mark and len(head) < len(mark):
+            head += block
+            if len(head) < len(mark):
+                continue
+            block = head.removeprefix(mark)
+        elif block is None and head and len(head) < len(mark):
+            rest = decoder.decode(head)
+        *lines, rest = (rest + decoder.decode(block or b"", final=block is None)).split("\n")
+        yield from (x.removesuffix("\r") for x in lines)
+    if rest:
+        yield rest.removesuffix("\r")
+
+
 def encode(text: str, name: str) -> bytes:
     """Bytes without a mark; what the encoding lacks becomes ``?``."""
     return text.encode(python_codec(name), "replace")

@@ -10,6 +10,8 @@ from collatrix.spec import SortSpec
 
 MOST_U64 = "18446744073709551615"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A noncharacter that marks cuts; where a record holds it, it is escaped.
+_ESCAPE, _CUT, _HELD = "\uFFFE", "\uFFF9", "\uFFFA"
 _BLANK = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -18,11 +20,31 @@ def bad(why: str, value: Column) -> Column:
 
 
 def fields(value: Column, delimiter: str, quoted: bool = False) -> Column:
-    """Parts of a record: split at every delimiter, or with ``quoted`` only outside quotes."""
+    """Parts of a record: split at every delimiter, or with ``quoted`` only outside quotes, which are taken
+    off, doubled ones being one. Both are linear in the record and have no recursion."""
     if not quoted:
         return F.split(value, "\\Q" + delimiter + "\\E", -1)
-    outside = "\\Q" + delimiter + '\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    return F.transform(F.split(value, outside, -1), lambda x: F.when(x.rlike('(?s)^".*"$'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    held = F.replace(value, F.lit(_ESCAPE), F.lit(_ESCAPE + _HELD))
+    parts = F.split(_quote_parts(held, delimiter, _ESCAPE + _CUT, unquote=True), _ESCAPE + _CUT, -1)
+    return F.transform(parts, lambda x: F.replace(x, F.lit(_ESCAPE + _HELD), F.lit(_ESCAPE)))
+
+
+def _quote_parts(value: Column, delimiter: str, new: str, unquote: bool) -> Column:
+    """``value`` with ``new`` for each delimiter outside quotes. What stands between quotes has an odd
+    number among the parts around them; an empty part between two quoted ones is a doubled quote."""
+    outside = lambda x: F.replace(x, F.lit(delimiter), F.lit(new))
+    if not unquote:
+        each = lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 0, outside(x)).otherwise(x))
+    else:
+        doubled = lambda p, x, i: (x == "") & (i > 0) & (i < F.size(p) - 1)
+        each = lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 1, x).when(doubled(p, x, i), F.lit('"')).otherwise(outside(x)))
+    whole = F.transform(F.array(F.split(value, '"', -1)), lambda p: F.array_join(each(p), "" if unquote else '"'))
+    return F.get(whole, F.lit(0))
+
+
+def redelimit(value: Column, delimiter: str, new: str) -> Column:
+    """The record with another delimiter; quotes and all else stay."""
+    return value if delimiter == new else _quote_parts(value, delimiter, new, unquote=False)
 
 
 def unsigned(text: Column, record: Column, why: str) -> Column:

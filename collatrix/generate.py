@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from collatrix.errors import UsageError
 CITIES = ("Jakarta", "Bandung", "Surabaya", "Medan", "Depok", "Bogor", "Tangerang", "Bekasi")
 CSV_HEADER = "id,idx,city,name"
 MOST_DEMO_ROWS = 1_000_000
+# Fixed values of the stream that fixtures are drawn from: word, multiplier and default seed.
+MASK, MULTIPLIER, SEED = (1 << 64) - 1, 0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15
 
 
 def _draw(seed: int, salt: int) -> Column:
@@ -40,3 +44,35 @@ def generate(spark: SparkSession, rows: int, kind: str, seed: int = 1) -> DataFr
         raise UsageError("kind is numeric, string or csv")
     zero = F.lit(0)
     return ids.select(value.alias("value"), F.struct(zero.alias("file"), zero.cast("long").alias("block"), F.col("id").alias("row")).alias("_rid"))
+
+
+def xorshift(seed: int) -> Iterator[int]:
+    """The public xorshift64* stream; seed 0 counts as 1."""
+    x = seed or 1
+    while True:
+        x ^= x >> 12
+        x = (x ^ x << 25) & MASK
+        x ^= x >> 27
+        yield x * MULTIPLIER & MASK
+
+
+def write_fixture(path: str, rows: int, kind: str, seed: int = SEED, header: bool = False) -> None:
+    """A file of records drawn one after another from one stream, on the driver: for fixtures, whose
+    values must be the same as those of other tools with the same seed. ``generate`` is for large inputs."""
+    if kind not in ("numeric", "string", "csv"):
+        raise UsageError("kind is numeric, string or csv")
+    if header and kind != "csv":
+        raise UsageError("only csv has a header")
+    draw = xorshift(seed)
+    word = lambda n: bytes(97 + next(draw) % 26 for _ in range(n))
+    with open(path, "wb") as f:
+        if header:
+            f.write(CSV_HEADER.encode() + b"\n")
+        for i in range(rows):
+            if kind == "numeric":
+                f.write(next(draw).to_bytes(8, "little"))
+            elif kind == "string":
+                f.write(word(next(draw) % 31 + 1) + b"\n")
+            else:
+                number, city = next(draw), CITIES[next(draw) % len(CITIES)]
+                f.write(f"{number},{i},{city},".encode() + word(next(draw) % 11 + 2) + b"\n")

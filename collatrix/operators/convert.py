@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from collatrix.errors import UsageError
-from collatrix.functions.keys import bad, fields
+from collatrix.functions.keys import bad, fields, redelimit
 from collatrix.spec import SortSpec
 
 
-def _outside_quotes(delimiter: str) -> str:
-    return "\\Q" + delimiter + '\\E(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
 def column_names(header: str | None, width: int, delimiter: str) -> list[str]:
     """Names of the header line, or col0, col1 and so on."""
     if header is None:
@@ -32,16 +30,14 @@ def column_names(header: str | None, width: int, delimiter: str) -> list[str]:
     return [n[1:-1].replace('""', '"') if len(n) > 1 and n[0] == n[-1] == '"' else n for n in names]
 
 
-def to_delimiter(value: Column, delimiter: str, new: str) -> Column:
-    """The record with another delimiter; quotes and all else stay."""
-    return value if delimiter == new else F.regexp_replace(value, F.lit(_outside_quotes(delimiter)), F.lit(new))
-
-
 def to_json_line(value: Column, names: list[str], delimiter: str) -> Column:
     """An object with all values as strings; of names and fields the shorter list decides."""
     parts = fields(value, delimiter, quoted=True)
-    keys = F.slice(F.array(*[F.lit(n) for n in names]), 1, F.least(F.lit(len(names)), F.size(parts)))
-    return F.to_json(F.map_from_arrays(keys, F.slice(parts, 1, F.size(keys))))
+    known = F.from_json(F.lit(json.dumps([json.dumps(n, ensure_ascii=False) for n in names])), "array<string>")  # one literal, however wide the record
+    both = F.arrays_zip(F.slice(known, 1, F.least(F.lit(len(names)), F.size(parts))).alias("k"), parts.alias("v"))
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    pairs = F.transform(F.filter(both, lambda p: p["k"].isNotNull()), lambda p: F.concat(p["k"], F.lit(":"), quoted(p["v"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
 
 
 def to_insert(value: Column, names: list[str], delimiter: str, table: str) -> Column:
@@ -59,11 +55,11 @@ def convert(records: DataFrame, spec: SortSpec, header: str | None) -> tuple[Dat
     delimiter, value = spec.delimiter or ",", F.col("value")
     if spec.output_format in (None, "csv"):
         if spec.output_format == "csv" and delimiter != ",":
-            joined = lambda x: to_delimiter(x, delimiter, ",")
+            joined = lambda x: redelimit(x, delimiter, ",")
             return records.withColumn("value", joined(value)), header and header.replace(delimiter, ",")
         return records, header
     if spec.output_format == "tsv":
-        return records.withColumn("value", to_delimiter(value, delimiter, "\t")), header and header.replace(delimiter, "\t")
+        return records.withColumn("value", redelimit(value, delimiter, "\t")), header and header.replace(delimiter, "\t")
     width = len(column_names(header, 0, delimiter)) if header is not None else _width(records, delimiter)
     names = column_names(header, width, delimiter)
     if spec.output_format == "jsonl":

@@ -287,5 +287,15 @@ ORACLES: dict[str, str] = {
     "verify_order": f"SELECT count(*) AS violations FROM (SELECT {_CENTS} AS cents, lag({_CENTS}) OVER (ORDER BY o_orderkey) AS before FROM orders) WHERE cents < before",
     "stats_rows": "SELECT count(*) AS rows_in, count(DISTINCT o_orderpriority) AS rows_out, count(*) - count(DISTINCT o_orderpriority) AS dupes_removed FROM orders",
     "check_columns": "WITH r AS (SELECT len(string_split(text, ',')) AS n FROM documents), m AS (SELECT n FROM r GROUP BY n ORDER BY count(*) DESC, n LIMIT 1) SELECT (SELECT n FROM m) AS columns, count(*) FILTER (WHERE n <> (SELECT n FROM m)) AS bad_rows FROM r",
+    "split_by_bytes": """
+WITH RECURSIVE c AS (SELECT c_name, pos, CAST(sum(strlen(c_name) + 1) OVER (ORDER BY pos) AS BIGINT) AS upto, strlen(c_name) + 1 AS size FROM (SELECT c_name, row_number() OVER (ORDER BY c_name, c_custkey) AS pos FROM customer)),
+w(part, first, base) AS (
+  SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT part + 1, pos, upto - size FROM (SELECT w.part, c.pos, c.upto, c.size, row_number() OVER (ORDER BY c.pos) AS k FROM w JOIN c ON c.pos > w.first AND c.upto - w.base > 4096) WHERE k = 1
+)
+SELECT pos, (SELECT max(part) FROM w WHERE first <= pos) AS part, c_name FROM c""",
+    "detect_delimiter": "SELECT t.name AS \"table\", d.d AS written, d.d AS detected FROM (VALUES ('region'), ('nation')) AS t(name), (VALUES (','), (';'), (':'), (chr(9)), ('|')) AS d(d)",
+    "watch_sort": "SELECT 'sorted-half' || c_custkey % 2 || '.txt' AS file, c_name FROM customer",
     "multiline_records": "SELECT md5(r) AS record_md5, CAST(length(r) AS BIGINT) AS n_chars FROM (SELECT page_id || ',\"' || replace(html, '\"', '\"\"') || '\"' AS r FROM pages)",
 }

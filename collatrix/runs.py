@@ -18,7 +18,7 @@ from collatrix.spec import SortSpec
 
 TEMP_ENV = "COLLATRIX_TEMP_DIR"
 #: Options that don't change what a run computes.
-_FREE = ("resume", "force", "backup", "log_file", "verify", "max_memory", "threads", "split_bytes")
+_FREE = ("resume", "force", "backup", "log_file", "verify", "max_memory", "threads", "output_layout", "split_bytes")
 
 
 def base_dir(spark: SparkSession | None = None) -> Path:
@@ -98,6 +98,12 @@ def resumable() -> list[Run]:
     return sorted((r for r in found if not r.manifest["finished"]), key=lambda r: r.folder.name, reverse=True)
 
 
+def listing() -> list[dict]:
+    """What there is to take up: id, input, output, whether its records are staged, and its age in seconds."""
+    now = time.time()
+    return [{"id": r.folder.name, "input": m["input"]["path"], "output": m["output"], "staged": r.staged, "age_s": round(now - m["started"])} for r in resumable() for m in [r.manifest]]
+
+
 def take_up(spec: SortSpec, path: str) -> Run | None:
     """The newest unfinished run of the same options on the same unchanged input."""
     mine, now = spec_hash(spec), fingerprint(path)

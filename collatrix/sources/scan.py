@@ -4,21 +4,28 @@ that sorts in input order: (file, start of the split, number in it)."""
 from __future__ import annotations
 
 import io
+import itertools
+import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from collatrix.errors import DataError, PreflightError, UsageError
-from collatrix.functions.encoding import decode
+from collatrix.functions.encoding import decoded_blocks
 from collatrix.spec import SortSpec
 from collatrix.staging import stage
 
 #: Larger spreadsheets aren't read: each is one task's work.
 MOST_EXCEL_BYTES = 500 << 20
+#: Bytes of 8-byte numbers that one task reads, and that it holds at a time.
+RANGE_BYTES, NUMBER_BYTES = 64 << 20, 8 << 20
 
 
 def _rid(file: int) -> Column:
@@ -32,38 +39,56 @@ def physical_lines(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
     return rows.select(F.regexp_replace("value", "\r$", "").alias("value"), _rid(file).alias("_rid"))
 
 
+def _by_path(files: DataFrame) -> DataFrame:
+    """``source`` of each file: its path where all machines share it, else its content."""
+    if all(r.path.startswith("file:") for r in files.select("path").collect()):
+        return files.select(F.url_decode(F.regexp_replace("path", "^file:(//)?", "")).alias("source"))
+    return files.select(F.col("content").alias("source"))
+
+
+def _blocks(f) -> Iterator[bytes]:
+    with f:
+        while block := f.read(NUMBER_BYTES):
+            yield block
+
+
+def _numbered(lines: Iterator[str]) -> Iterator[pd.DataFrame]:
+    for at in itertools.count(0, 10_000):
+        some = list(itertools.islice(lines, 10_000))
+        yield pd.DataFrame({"value": some, "row": range(at, at + len(some))})
+        if len(some) < 10_000:
+            return
+
+
 def decoded_lines(spark: SparkSession, path: str, encoding: str, file: int = 0) -> DataFrame:
-    """Lines of a file that isn't UTF-8: Spark's text source reads no other encoding, so a file is
-    decoded as a whole by one task. Byte order marks are dropped."""
+    """Lines of a file that isn't UTF-8: Spark's text source reads no other encoding, so one task
+    decodes a file, a block at a time. Byte order marks are dropped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for raw in batch["content"]:
-                lines = [x.removesuffix("\r") for x in decode(raw, encoding).split("\n")]
-                lines = lines[:-1] if lines and lines[-1] == "" else lines
-                for at in range(0, len(lines), 10_000):
-                    yield pd.DataFrame({"value": lines[at : at + 10_000], "row": range(at, min(at + 10_000, len(lines)))})
+            for source in batch["source"]:
+                yield from _numbered(decoded_blocks(_blocks(open(source, "rb") if isinstance(source, str) else io.BytesIO(source)), encoding))
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string, row long")
+    rows = _by_path(spark.read.format("binaryFile").load(path)).mapInPandas(run, "value string, row long")
     return rows.select("value", F.struct(F.lit(file).alias("file"), F.lit(0).cast("long").alias("block"), F.col("row").alias("row")).alias("_rid"))
 
 
 def zip_lines(spark: SparkSession, path: str, encoding: str = "utf-8", file: int = 0) -> DataFrame:
-    """All entries one after another, nothing between them; a zip file has no splits."""
+    """All entries one after another, nothing between them; a zip file has no splits. Entries are
+    unpacked a block at a time, straight from the file where every machine sees it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for raw in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for source in batch["source"]:
+                with zipfile.ZipFile(source if isinstance(source, str) else io.BytesIO(source)) as z:
                     names = [n for n in z.namelist() if not n.endswith("/")]
                     if not names:
                         raise ValueError("collatrix data error: the zip file is empty")
-                    text = decode(b"".join(z.read(n) for n in names), encoding)
-                lines = [x.removesuffix("\r") for x in text.split("\n")]
-                lines = lines[:-1] if lines and lines[-1] == "" else lines
-                yield pd.DataFrame({"value": lines, "row": range(len(lines))})
+                    blocks = (block for n in names for block in _blocks(z.open(n)))
+                    yield from _numbered(decoded_blocks(blocks, encoding))
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string, row long")
+    found = spark.read.format("binaryFile").load(path)
+    rows = _by_path(found).mapInPandas(run, "value string, row long")
     return rows.select("value", F.struct(F.lit(file).alias("file"), F.lit(0).cast("long").alias("block"), F.col("row").alias("row")).alias("_rid"))
 
 
@@ -80,15 +105,54 @@ def excel_lines(spark: SparkSession, path: str, sheet: str | None = None, file:
     return table.select("value", F.struct(F.lit(file).alias("file"), F.lit(0).cast("long").alias("block"), "row").alias("_rid"))
 
 
-def numbers(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
-    """8-byte little-endian unsigned numbers as ``value``, their bytes turned around so that byte order is
-    numeric order. A file whose length isn't a multiple of 8 is a data error."""
-    for row in spark.read.format("binaryFile").load(path).select("path", "length").collect():
+def _read_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, start, length in zip(*[batch.column(c).to_pylist() for c in ("path", "start", "length")], strict=True):
+            with open(path, "rb") as f:
+                f.seek(start)
+                for at in range(0, length, NUMBER_BYTES):
+                    raw = np.frombuffer(f.read(min(NUMBER_BYTES, length - at)), "<u8").byteswap()
+                    offsets = np.arange(0, 8 * len(raw) + 1, 8, dtype=np.int32)
+                    value = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                    row = pa.array((start + at) // 8 + np.arange(len(raw)))
+                    yield pa.RecordBatch.from_arrays([value, row], names=["value", "row"])
+
+
+def number_ranges(spark: SparkSession, path: str) -> DataFrame | None:
+    """(path, start, length) of the ranges that tasks read, or nothing if a file isn't under a path that
+    all machines see. A length that isn't a multiple of 8 is a data error."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    for row in files:
         if row.length % 8:
             raise DataError(f"{row.path}: {row.length} bytes aren't whole 8-byte numbers")
-    records = spark.sparkContext.binaryRecords(path, 8).map(lambda b: (bytearray(b[::-1]),))
-    rows = spark.createDataFrame(records, "value binary")
-    return rows.select("value", F.struct(F.lit(file).alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("row")).alias("_rid"))
+    if not all(r.path.startswith("file:") for r in files):
+        return None
+    return ranges_of(spark, sorted((unquote(re.sub("^file:(//)?", "", r.path)), r.length) for r in files))
+
+
+def ranges_of(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+    """(path, start, length): each of the ``files`` (path, bytes) cut between numbers."""
+    cores, found = spark.sparkContext.defaultParallelism, []
+    for path, size in files or [("", 0)]:
+        each = max(8, min(RANGE_BYTES, -(-size // cores)) // 8 * 8)
+        many = max(1, -(-size // each))
+        start = F.col("id") * each
+        length = F.least(F.lit(each).cast("long"), F.lit(size).cast("long") - start)
+        found.append(spark.range(0, many, 1, many).select(F.lit(path).alias("path"), start.alias("start"), length.alias("length")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def numbers(spark: SparkSession, path: str, file: int = 0) -> DataFrame:
+    """8-byte little-endian unsigned numbers as ``value``, their bytes turned around so that byte order is
+    numeric order. Files that every machine sees under a path are read in ranges, a whole block of
+    numbers at a time."""
+    ranges = number_ranges(spark, path)
+    if ranges is None:
+        records = spark.sparkContext.binaryRecords(path, 8).map(lambda b: (bytearray(b[::-1]),))
+        rows = spark.createDataFrame(records, "value binary").withColumn("row", F.monotonically_increasing_id())
+    else:
+        rows = ranges.mapInArrow(_read_numbers, "value binary, row long")
+    return rows.select("value", F.struct(F.lit(file).alias("file"), F.lit(0).cast("long").alias("block"), F.col("row").alias("row")).alias("_rid"))
 
 
 def assemble_multiline(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

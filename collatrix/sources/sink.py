@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import json
 import os
 import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.errors import InputOutputError, UsageError
@@ -35,9 +38,17 @@ def guard_output(spec: SortSpec) -> None:
             raise UsageError(f"{out} exists; force or backup lets it be replaced")
 
 
-def write_folder(rows: DataFrame, by: list[Column], path: str, mode: str = "errorifexists") -> None:
-    """Part files in order, each sorted: the sink for outputs of any size."""
-    rows.orderBy(*by).select("value").write.mode(mode).text(path)
+def write_folder(rows: DataFrame, by: list[Column], path: str, header: str | None = None, encoding: str = "utf-8", mode: str = "overwrite") -> list[str]:
+    """Part files in order, each sorted, the header as the first part: the sink for outputs of any size.
+    A target ending in ``.gz`` has compressed parts. Text in UTF-8 only."""
+    if dict(rows.dtypes)["value"] == "binary" or encoding != "utf-8":
+        raise UsageError("a folder holds UTF-8 text")
+    if header is not None:
+        first = rows.sparkSession.createDataFrame([(header, 0)], "value string, pos long")
+        rows, by = first.unionByName(rows.select("value", "pos")), [F.col("pos")]
+    options = {"compression": "gzip"} if path.lower().endswith(".gz") else {}
+    rows.orderBy(*by).select("value").write.mode(mode).options(**options).text(path)
+    return [path]
 
 
 def ordered_values(rows: DataFrame, by: list[Column]) -> Iterator:
@@ -53,7 +64,7 @@ def _bytes_of(values: Iterator, header: str | None, encoding: str) -> Iterator[b
         yield bytes(v)[::-1] if not isinstance(v, str) else encode(v + "\n", encoding)
 
 
-def _commit(path: Path, write) -> None:
+def commit(path: Path, write) -> None:
     """Write beside the target and put it in place at once."""
     part = path.parent / f".{path.name}.part"
     try:
@@ -73,7 +84,7 @@ def write_single(values: Iterator, path: str, header: str | None = None, encodin
     if low.endswith(".xlsx"):
         lines = ([header] if header is not None else []), values
         rows = (split_quoted(x, delimiter) for part in lines for x in part)
-        return _commit(target, lambda p: write_sheet(str(p), rows, sheet or "Sorted", header is not None))
+        return commit(target, lambda p: write_sheet(str(p), rows, sheet or "Sorted", header is not None))
     pieces = _bytes_of(values, header, encoding)
 
     def write(part: Path) -> None:
@@ -88,17 +99,38 @@ def write_single(values: Iterator, path: str, header: str | None = None, encodin
             with open(part, "wb") as f:
                 f.writelines(pieces)
 
-    return _commit(target, write)
+    return commit(target, write)
+
+
+def local_master(spark: SparkSession) -> bool:
+    """Whether all tasks run on this machine, so that they can write where the driver does."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def write_parts(rows: DataFrame, path: str, header: str | None = None, encoding: str = "utf-8") -> list[str]:
-    """``rows`` (value, pos, part) as numbered files, the header in each."""
-    target, written = Path(path), []
-    for part in [r.part for r in rows.select("part").distinct().orderBy("part").toLocalIterator()]:
-        name = target.with_name(f"{target.stem}-{part:03d}{target.suffix}")
-        write_single(ordered_values(rows.filter(F.col("part") == part), [F.col("pos")]), str(name), header, encoding)
-        written.append(str(name))
-    return written
+    """``rows`` (value, pos, part) as numbered files, the header in each, in one pass: a part's rows meet
+    in one task, sorted, which writes its file and then puts it in place. The folder must be one
+    that the tasks share with the driver."""
+    target = Path(path).resolve()
+    target.parent.mkdir(parents=True, exist_ok=True)
+    name_of = lambda part: target.with_name(f"{target.stem}-{part:03d}{target.suffix}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_in = ((p, v) for b in batches for p, v in zip(b.column("part").to_pylist(), b.column("value").to_pylist(), strict=True))
+        for part, group in itertools.groupby(rows_in, key=lambda r: r[0]):
+            own = name_of(part)
+            hidden = own.with_name(f".{own.name}.{uuid.uuid4().hex}")
+            with open(hidden, "wb") as f:
+                f.writelines(_bytes_of((v for _, v in group), header, encoding))
+                f.flush()
+                os.fsync(f.fileno())
+            os.replace(hidden, own)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], names=["part"])
+
+    dealt = rows.select("part", "pos", "value").repartition("part").sortWithinPartitions("part", "pos")
+    parts = sorted(r.part for r in dealt.mapInArrow(run, "part int").collect())  # one number a file
+    return [str(Path(path).with_name(name_of(p).name)) for p in parts]
 
 
 def audit(path: str, entry: dict) -> bool:

@@ -11,7 +11,10 @@ from collatrix.functions.values import parse_size
 FORMATS = ("numeric", "string", "csv", "jsonl", "excel")
 KEY_TYPES = ("string", "numeric", "date")
 OUTPUTS = ("csv", "tsv", "jsonl", "sql")
+#: One file put together on the driver, or a folder of ordered parts written by the executors.
+LAYOUTS = ("file", "folder")
 MOST_KEYS = 4
+LEAST_MEMORY = 16 << 20
 LEAST_SPLIT_BYTES = 1024
 
 
@@ -66,6 +69,7 @@ class SortSpec:
     resume: bool = False
     max_memory: str | int | None = None
     threads: int | None = None
+    output_layout: str | None = None
     split_bytes: int | None = field(default=None, init=False)
 
     def __post_init__(self) -> None:
@@ -83,6 +87,8 @@ class SortSpec:
                 put(name, canonical(getattr(self, name)))
         if self.split_by_size is not None:
             put("split_bytes", parse_size(self.split_by_size))
+        if self.max_memory is not None:
+            put("max_memory", parse_size(self.max_memory))
         self._check()
 
     def _check(self) -> None:
@@ -117,7 +123,12 @@ class SortSpec:
         refuse(bool(self.merge) and any(p.lower().endswith((".gz", ".zip", ".xlsx")) for p in self.merge), "merge reads plain files")
         refuse(self.output_format is not None and self.output_format not in OUTPUTS, f"output format is one of {', '.join(OUTPUTS)}")
         refuse(self.output_format is not None and not delimited, "conversion needs csv or excel input")
+        refuse(self.max_memory is not None and self.max_memory < LEAST_MEMORY, "max-memory is at least 16 MB")
+        refuse(self.threads is not None and self.threads < 1, "threads is at least 1")
+        refuse(self.output_layout not in (None, *LAYOUTS), f"output layout is one of {', '.join(LAYOUTS)}")
+        refuse(self.output_layout == "folder" and splits, "a folder isn't split: it has parts of its own")
         target = (self.output or "").lower()
+        refuse(self.output_layout == "folder" and target.endswith((".xlsx", ".zip")), "a folder holds text parts")
         refuse(target.endswith(".xlsx") and not delimited, "xlsx output needs csv or excel")
         refuse(target.endswith(".xlsx") and (self.encoding_out is not None or self.output_format is not None), "xlsx output has no encoding or conversion")
         refuse(target.endswith((".xlsx", ".gz", ".zip")) and splits, "xlsx, gz and zip outputs aren't split")

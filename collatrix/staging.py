@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
 _STAGED: list[tuple[SparkSession, str]] = []
+_SCOPES: ContextVar[tuple] = ContextVar("collatrix_scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
-def _remove_staged() -> None:
-    for spark, path in _STAGED:
+def _remove(entries: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in entries:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -39,6 +43,41 @@ def _remove_staged() -> None:
             return
 
 
+def _remove_staged() -> None:
+    _remove(_STAGED)
+
+
+class Staged:
+    """Tables staged in a block of work, in the order of staging."""
+
+    def __init__(self) -> None:
+        self.entries: list[tuple[SparkSession, str]] = []
+
+    def drop(self, keep: Sequence[DataFrame] = ()) -> None:
+        """Remove all that were staged so far but ``keep``, which no table still in use may read."""
+        held = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
+        gone = [e for e in self.entries if not any(h.endswith(e[1].split(":", 1)[-1].lstrip("/")) for h in held)]
+        self.entries = [e for e in self.entries if e not in gone]
+        for e in gone:
+            if e in _STAGED:
+                _STAGED.remove(e)
+        _remove(gone)
+
+
+@contextlib.contextmanager
+def scope(remove: bool = True) -> Iterator[Staged]:
+    """Tables staged in the block are removed at its end, unless an outer block still needs them."""
+    found = Staged()
+    outer = _SCOPES.get()
+    token = _SCOPES.set((*outer, found))
+    try:
+        yield found
+    finally:
+        _SCOPES.reset(token)
+        if remove:
+            found.drop()
+
+
 atexit.register(_remove_staged)
 
 
@@ -49,6 +88,8 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/collatrix/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append((spark, path))
+    for block in _SCOPES.get():
+        block.entries.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
