@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -54,7 +55,8 @@ class Staged:
         self.entries: list[tuple[SparkSession, str]] = []
 
     def drop(self, keep: Sequence[DataFrame] = ()) -> None:
-        """Remove all that were staged so far but ``keep``, which no table still in use may read."""
+        """Remove all that were staged so far but ``keep``; no table still in use may read them. Shuffle files
+        of finished steps go too, as their plans are no longer held."""
         held = {f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()}
         gone = [e for e in self.entries if not any(h.endswith(e[1].split(":", 1)[-1].lstrip("/")) for h in held)]
         self.entries = [e for e in self.entries if e not in gone]
@@ -62,6 +64,9 @@ class Staged:
             if e in _STAGED:
                 _STAGED.remove(e)
         _remove(gone)
+        if gone:
+            gc.collect()
+            gone[0][0]._jvm.System.gc()
 
 
 @contextlib.contextmanager
