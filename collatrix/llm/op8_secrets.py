@@ -46,6 +46,10 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Matches of a text whose places are summed together.
+BLOCK = 128
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
 #: A query is a conjunction of clauses, a clause a disjunction of trigram sets.
 Query = frozenset[frozenset[frozenset[str]]]
 _MOST_STRINGS = 64
@@ -159,26 +163,45 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return held.select("key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches in ``_text`` as array of (start, rank, kind, end) in code points.
 
-    The parts between the matches and the matches themselves give the positions by a running sum.
+    The lengths of matches and of the parts between them give the positions by a running sum, first
+    over blocks of ``BLOCK`` matches and then inside each, so that the arrays that grow stay short.
     """
     parts = F.split("_text", rule.pattern, -1)
     whole = F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(0))
     tested = F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     rows = F.arrays_zip(parts.alias("p"), whole.alias("m"), tested.alias("g")) if rule.group else F.arrays_zip(parts.alias("p"), whole.alias("m"))
-    kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    length = lambda x: F.coalesce(F.char_length(x), F.lit(0))
+    empty = F.array().cast(_SPANS)
+
+    def block(r: Column, k: Column) -> Column:
+        return F.slice(r, k * BLOCK + 1, F.lit(BLOCK))
+
+    def starts(sizes: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sizes, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
 
     def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.char_length(row["p"])
-        end = start + F.coalesce(F.char_length(row["m"]), F.lit(0))
+        start = acc["at"] + length(row["p"])
+        end = start + length(row["m"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
         keep = row["m"].isNotNull() & (F.char_length(row["g" if rule.group else "m"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).cast(kind).alias("out"))
+        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def found(r: Column) -> Column:
+        many = F.sequence(F.lit(0), (F.ceil(F.size(r) / BLOCK) - 1).cast("int"))
+        sizes = F.transform(many, lambda k: F.aggregate(block(r, k), F.lit(0), lambda n, row: n + length(row["p"]) + length(row["m"])))
+        inside = lambda at, k: F.aggregate(block(r, k), F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.transform(starts(sizes), inside))
 
-    return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+    return _let(rows, found)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -192,7 +215,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     texts = docs.select("doc_id", text_or_empty("text").alias("_text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     vocabulary = sorted({t for q in queries.values() for clause in q for alt in clause for t in alt})
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    none = F.array().cast(_SPANS)
     if vocabulary:
         found = candidates(build_index(texts, vocabulary), queries)
         texts = texts.withColumn("key", _key()).join(found, "key", "left").drop("key")
