@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from collatrix.staging import shared_dir, stage, table
+from collatrix.staging import scope, shared_dir, stage, table
 
-__all__ = ["UPPER", "as_row", "from_row", "held_out", "map_arrow", "shared_dir", "ship", "stage", "table", "text_or_empty", "with_fields"]
+__all__ = ["UPPER", "as_row", "from_row", "held_out", "map_arrow", "scope", "shared_dir", "ship", "stage", "table", "text_or_empty", "with_fields"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A batch is held by the JVM and by Python, on its way in and out, in every task of an executor.

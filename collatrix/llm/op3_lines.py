@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.llm import tokens as tk
-from collatrix.llm.common import as_row, map_arrow, ship, stage, table
+from collatrix.llm.common import as_row, map_arrow, scope, ship, stage, table
 
-#: Shorter lines are never removed.
-MIN_WORDS = 5
-#: Shorter lines are only compared for equality: one word in fewer is a different line.
+#: Lines of fewer words, so blank ones, are never removed.
+MIN_WORDS = 1
+#: Shorter lines are only compared for equality: one word in seven or fewer is most often what a line
+#: says ("Chapter 3", "Total: 7 items"), so another line and not a copy.
 MIN_NEAR_WORDS = 8
 #: Up to so many lines are picked from the texts with a broadcast list of 8 bytes each; more by a join.
 BROADCAST_LINES = 2_000_000
@@ -210,60 +211,77 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN_NEAR_WORDS) -> DataFrame:
     """(row, line) of the lines to remove from ``docs`` (doc, tie, row, text; ``row`` is unique): those
     equal to or one word apart from an earlier line, by place. Of exact copies the first stands for all."""
-    lines = stage(map_arrow(docs, _scan(min_words, min_near), f"h1 long, h2 long, {_PLACE_TYPES}, halves array<long>"), "lines")
-    place = F.struct(*PLACE)
-    distinct = stage(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines-distinct")
-
-    halves = distinct.select("first.row", "first.line", F.posexplode("halves").alias("which", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    flag = lambda odd: F.max(F.col("which") % 2 == odd)
-    chosen = halves.join(shared, "half").groupBy("row", "line").agg(flag(0).alias("first_half"), flag(1).alias("last_half"))
-    chosen = stage(chosen.join(distinct.select("first.*"), ["row", "line"]), "lines-chosen")
-    texts = stage(pick_lines(docs, chosen).join(chosen, ["row", "line"]), "lines-texts")
-    variants = stage(map_arrow(texts, _variants, f"key long, at int, {_PLACE_TYPES}"), "lines-variants")
-
-    # Replaced words: lines with one variant at one place are all one word apart from the first of them.
-    left_out = variants.filter("at >= 0")
-    groups = left_out.groupBy("key", "at").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    replaced = left_out.join(groups, ["key", "at"]).filter(place > F.col("first")).select(place.alias("place"), F.col("first").alias("other"))
-    # Inserted words: a line that is a variant of another.
-    whole = variants.filter("at < 0").select("key", place.alias("whole"))
-    inserted = left_out.join(whole, "key").select(F.greatest(place, "whole").alias("place"), F.least(place, "whole").alias("other"))
-    pairs = replaced.unionByName(inserted).filter("place != other").distinct()
-
-    lookup = texts.select("row", "line", "text")
-    pairs = pairs.select("place.row", "place.line", F.col("other.row").alias("row2"), F.col("other.line").alias("line2"))
-    both = pairs.join(lookup, ["row", "line"]).join(lookup.toDF("row2", "line2", "other"), ["row2", "line2"])
-    near = stage(map_arrow(both.select("row", "line", "text", "other"), _verify, "row long, line int").distinct(), "lines-near")
-
-    marked = distinct.select("h1", "h2", "n", "first.row", "first.line").join(near.withColumn("near", F.lit(True)), ["row", "line"], "left")
-    marked = marked.filter("n > 1 or near").select("h1", "h2", F.struct("row", "line").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("h1", "h2", "row", "line").join(marked, ["h1", "h2"]).filter(F.col("near") | (F.struct("row", "line") != F.col("first")))
-    return gone.select("row", "line")
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN_NEAR_WORDS) -> DataFrame:
-    """``docs``, all columns, with repeated lines taken out of ``text``, and ``_removed``, how many.
+    with scope(remove=False) as staged:
+        lines = stage(map_arrow(docs, _scan(min_words, min_near), f"h1 long, h2 long, {_PLACE_TYPES}, halves array<long>"), "lines")
+        place = F.struct(*PLACE)
+        distinct = stage(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "lines-distinct")
+        staged.drop(keep=[distinct, lines])
+
+        halves = distinct.filter(F.size("halves") > 0).select("first.row", "first.line", F.posexplode("halves").alias("which", "half"))
+        shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+        flag = lambda odd: F.max(F.col("which") % 2 == odd)
+        chosen = halves.join(shared, "half").groupBy("row", "line").agg(flag(0).alias("first_half"), flag(1).alias("last_half"))
+        chosen = stage(chosen.join(distinct.select("first.*"), ["row", "line"]), "lines-chosen")
+        texts = stage(pick_lines(docs, chosen).join(chosen, ["row", "line"]), "lines-texts")
+        variants = stage(map_arrow(texts, _variants, f"key long, at int, {_PLACE_TYPES}"), "lines-variants")
+        staged.drop(keep=[distinct, lines, texts, variants])
+
+        # Replaced words: lines with one variant at one place are all one word apart from the first of them.
+        left_out = variants.filter("at >= 0")
+        groups = left_out.groupBy("key", "at").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        replaced = left_out.join(groups, ["key", "at"]).filter(place > F.col("first")).select(place.alias("place"), F.col("first").alias("other"))
+        # Inserted words: a line that is a variant of another.
+        whole = variants.filter("at < 0").select("key", place.alias("whole"))
+        inserted = left_out.join(whole, "key").select(F.greatest(place, "whole").alias("place"), F.least(place, "whole").alias("other"))
+        pairs = replaced.unionByName(inserted).filter("place != other").distinct()
+
+        lookup = texts.select("row", "line", "text")
+        pairs = pairs.select("place.row", "place.line", F.col("other.row").alias("row2"), F.col("other.line").alias("line2"))
+        both = pairs.join(lookup, ["row", "line"]).join(lookup.toDF("row2", "line2", "other"), ["row2", "line2"])
+        near = stage(map_arrow(both.select("row", "line", "text", "other"), _verify, "row long, line int").distinct(), "lines-near")
+        staged.drop(keep=[distinct, lines, near])
+
+        marked = distinct.select("h1", "h2", "n", "first.row", "first.line").join(near.withColumn("near", F.lit(True)), ["row", "line"], "left")
+        marked = marked.filter("n > 1 or near").select("h1", "h2", F.struct("row", "line").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+        gone = lines.select("h1", "h2", "row", "line").join(marked, ["h1", "h2"]).filter(F.col("near") | (F.struct("row", "line") != F.col("first")))
+        gone = stage(gone.groupBy("row").agg(F.collect_set("line").alias("lines")), "lines-gone")
+        staged.drop(keep=[gone])
+        return gone
+
+
+def cut_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN_NEAR_WORDS) -> DataFrame:
+    """Each row of ``docs`` as ``_row``, with ``_cut``, its text less repeated lines, and ``_removed``, how
+    many went. Whatever the columns of ``docs`` are called, they clash with nothing.
 
     Lines end at newlines; words are between white space, A-Z lower-cased. A line of ``min_words``
     or more goes if an earlier line, by (doc_id, line number), equals it or, from ``min_near``
     words on, is one word apart; links are not followed further, so in a chain each line but the
-    first goes. Lines of the same document count too. Every row is a document of its own: rows of
-    one doc_id are ordered by a hash of their text, and null ids come last. Null text stays null; a
-    text that loses all its lines becomes empty. Empty tables give no rows. Rows are staged once, so
-    that their numbers hold. Line lists are per row, so bounded by it.
+    first goes. Blank lines stay. Lines of the same document count too. Every row is a document of
+    its own: rows of one doc_id are ordered by a hash of their text, and null ids come last. Null
+    text stays null; a text that loses all its lines becomes empty. Empty tables give no rows. Rows
+    are staged once, so that their numbers hold. Line lists are per row, so bounded by it, and a
+    text is put together in time linear in its lines.
     """
     rows = stage(as_row(docs).withColumn("_n", F.monotonically_increasing_id()), "lines-rows")
     text = F.col("_row.text")
     doc = F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(_NULL_ID))
     gone = removed_lines(rows.select(doc.alias("doc"), F.xxhash64(text).alias("tie"), F.col("_n").alias("row"), text.alias("text")), min_words, min_near)
-    lists = gone.groupBy(F.col("row").alias("_n")).agg(F.collect_set("line").alias("_lines"))
-    found = rows.join(stage(lists, "lines-gone").hint("merge"), "_n", "left")  # one plan at every size
-    split = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(F.arrays_zip(split.alias("t"), F.sequence(F.lit(0), F.size(split) - 1).alias("i")), lambda x: ~F.array_contains("_lines", x["i"]))["t"], "\n")
-    changed = F.when(F.col("_lines").isNull() | text.isNull(), text).otherwise(kept)
-    whole = [changed.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
-    return found.select(*whole, F.coalesce(F.size("_lines"), F.lit(0)).alias("_removed"))
+    found = rows.join(gone.toDF("_n", "_lines").hint("merge"), "_n", "left")  # one plan at every size
+
+    def kept(cell):  # bound once, as lines are looked up by number
+        held = F.array_except(F.sequence(F.lit(0), F.size(cell["lines"]) - 1), cell["gone"])
+        return F.array_join(F.transform(held, lambda i: F.get(cell["lines"], i)), "\n")
+
+    both = F.struct(F.split(text, "\n", -1).alias("lines"), F.col("_lines").alias("gone"))
+    changed = F.when(F.col("_lines").isNull() | text.isNull(), text).otherwise(F.get(F.transform(F.array(both), kept), F.lit(0)))
+    return found.select("_row", changed.alias("_cut"), F.coalesce(F.size("_lines"), F.lit(0)).alias("_removed"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_near: int = MIN_NEAR_WORDS) -> DataFrame:
+    """``docs``, all columns, with repeated lines taken out of ``text`` as by ``cut_lines``, and ``_removed``,
+    how many (a column of that name gives way)."""
+    columns = [F.col("_cut").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "_removed"]
+    return cut_lines(docs, min_words, min_near).select(*columns, "_removed")
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
