@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from collatrix.llm.common import stage, table
+from collatrix.llm.common import as_row, stage, table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Words of one block. Small blocks keep small sources near their targets; their number costs nothing.
 BLOCK_TOKENS = 16
 DOCS_PER_SHARD = 512
+#: Shards that are apportioned together: a source deals to its groups of shards and these to their shards.
+GROUP_SHARDS = 1024
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,34 +73,44 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return ranked.withColumn("target", target).drop("_w", "_most", "_level", "_at", "_first")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_tokens: int = BLOCK_TOKENS, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED) -> DataFrame:
-    """How many words of each document the mix takes: doc_id, size, source_size, target, taken.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_tokens: int = BLOCK_TOKENS, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED, carry: bool = False) -> DataFrame:
+    """How many words of each document the mix takes: doc_id, size, source_size, target, taken. With
+    ``carry``, all columns of ``docs`` come first, less those whose names are among the four new ones.
 
     Sizes are words of the whole text (null or empty: 0, taken 0). One row out for each row in,
     repeated rows included; rows that are equal in id and size are interchangeable. Null ids and
     sources are ordinary values; other columns are ignored. An empty table gives no rows. The
     same seed gives the same result whatever the partitioning.
 
-    A shard holds about ``docs_per_shard`` documents of all sources together, so no source, hot or
-    not, meets in one task. Quotas never exceed ``cap`` times a shard's words.
+    A shard holds about ``docs_per_shard`` documents of all sources together, and ``GROUP_SHARDS``
+    shards make a group. Blocks go to sources, from these to their groups and from those to their
+    shards, so a task sees a source's groups or a group's shards (or all sources, one row each), never
+    a source's documents or shards. Quotas never exceed ``cap`` times a shard's words.
     """
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stage(docs.select(
-        "doc_id", "source", words.alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_draw"),
+    rows = as_row(docs)
+    words = F.coalesce(F.regexp_count("_row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = stage(rows.select(
+        *(["_row"] if carry else []), "_row.doc_id", "_row.source", words.alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("null")))).alias("_draw"),
     ), "mix-sizes")
     sized = sized.withColumn("_src", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
     shards = max(1, -(-sized.count() // docs_per_shard))
     sized = sized.withColumn("_shard", F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") % shards)
 
     per_shard = stage(sized.groupBy("_src", "source", "_shard").agg(F.sum("size").alias("_shard_size")), "mix-shards")
-    sources = source_targets(per_shard.groupBy("_src", "source").agg(F.sum("_shard_size").alias("source_size"), F.count("*").alias("_shards")), weights, cap)
+    sources = source_targets(per_shard.groupBy("_src", "source").agg(F.sum("_shard_size").alias("source_size")), weights, cap)
     one = Window.partitionBy(F.lit(0))
     sources = sources.withColumns({"_total": F.sum("target").over(one), "_n": F.count("*").over(one).cast("double"), "_blocks": F.round(F.sum("source_size").over(one) / block_tokens).cast("long")})
     dealt = stage(apportion(sources, [], F.col("target"), F.col("_total"), F.col("_n"), F.col("_blocks"), ["_order"]).withColumnRenamed("quota", "_source_quota"), "mix-sources")
 
-    to_shards = per_shard.drop("source").join(dealt.select("_src", "source_size", "target", "_shards", "_source_quota"), "_src")
-    quotas = apportion(to_shards, ["_src"], F.col("_shard_size"), F.col("source_size"), F.col("_shards").cast("double"), F.col("_source_quota"), ["_shard"])
+    grouped = per_shard.drop("source").withColumn("_group", F.floor(F.col("_shard") / GROUP_SHARDS))
+    groups = grouped.groupBy("_src", "_group").agg(F.sum("_shard_size").alias("_group_size"), F.count("*").alias("_members"))
+    per_source = groups.groupBy("_src").agg(F.count("*").alias("_groups"))
+    to_groups = groups.join(per_source, "_src").join(dealt.select("_src", "source_size", "target", "_source_quota"), "_src")
+    group_quotas = apportion(to_groups, ["_src"], F.col("_group_size"), F.col("source_size"), F.col("_groups").cast("double"), F.col("_source_quota"), ["_group"])
+    group_quotas = stage(group_quotas.withColumnRenamed("quota", "_group_quota"), "mix-groups")
+    to_shards = grouped.join(group_quotas.select("_src", "_group", "source_size", "target", "_group_size", "_members", "_group_quota"), ["_src", "_group"])
+    quotas = apportion(to_shards, ["_src", "_group"], F.col("_shard_size"), F.col("_group_size"), F.col("_members").cast("double"), F.col("_group_quota"), ["_shard"])
     most = F.least(F.col("quota") * block_tokens, F.col("_shard_size") * cap)
     quotas = quotas.select("_src", "_shard", "_shard_size", "source_size", "target", most.alias("_quota"))
 
@@ -107,7 +119,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     rounds = F.when(F.col("_shard_size") > 0, F.expr("_quota div _shard_size")).otherwise(F.lit(0))
     rest = F.col("_quota") - rounds * F.col("_shard_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_at")))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    more = [F.col("size"), F.col("source_size"), F.col("target"), taken.cast("long").alias("taken")]
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken")] if carry else [F.col("doc_id")]
+    return placed.select(*own, *more)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

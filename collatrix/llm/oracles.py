@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collatrix.llm.op3_lines import MIN_NEAR_WORDS, MIN_WORDS
-from collatrix.llm.op6_mix import BLOCK_TOKENS, CAP, DOCS_PER_SHARD, SEED
+from collatrix.llm.op6_mix import BLOCK_TOKENS, CAP, DOCS_PER_SHARD, GROUP_SHARDS, SEED
 from collatrix.llm.op8_secrets import BASE_RULES, RULES, Rule
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -50,9 +50,13 @@ targets AS (
 ), totals AS (
   SELECT *, sum(target) OVER () AS total, CAST(count(*) OVER () AS DOUBLE) AS n, CAST(round((sum(source_size) OVER ())::DOUBLE / {BLOCK_TOKENS}) AS BIGINT) AS blocks FROM targets
 ),{_seats('dealt', 'totals', 'one', 'target', 'total', 'n', 'blocks', 'o')},
+to_groups AS (
+  SELECT g.*, d.source_size, d.target, d.quota AS source_quota, CAST(count(*) OVER (PARTITION BY g.src) AS DOUBLE) AS group_count
+  FROM (SELECT src, shard // {GROUP_SHARDS} AS grp, CAST(sum(shard_size) AS BIGINT) AS group_size, CAST(count(*) AS DOUBLE) AS members FROM per_shard GROUP BY ALL) g JOIN dealt d USING (src)
+),{_seats('grouped', 'to_groups', 'src', 'group_size', 'source_size', 'group_count', 'source_quota', 'grp')},
 to_shards AS (
-  SELECT p.src, p.shard, p.shard_size, d.source_size, d.target, CAST(d.shards AS DOUBLE) AS shard_count, d.quota AS source_quota FROM per_shard p JOIN dealt d USING (src)
-),{_seats('quotas', 'to_shards', 'src', 'shard_size', 'source_size', 'shard_count', 'source_quota', 'shard')},
+  SELECT p.src, p.shard, p.shard_size, d.source_size, d.target, d.group_size, d.members, d.quota AS group_quota, p.src || ':' || d.grp AS sg FROM per_shard p JOIN grouped d ON d.src = p.src AND d.grp = p.shard // {GROUP_SHARDS}
+),{_seats('quotas', 'to_shards', 'sg', 'shard_size', 'group_size', 'members', 'group_quota', 'shard')},
 placed AS (
   SELECT s.doc_id, s.size, q.source_size, q.target, q.shard_size, least(q.quota * {BLOCK_TOKENS}, q.shard_size * {CAP}) AS quota,
     sum(s.size) OVER (PARTITION BY s.src, s.shard ORDER BY s.draw, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before FROM sharded s JOIN quotas q ON q.src = s.src AND q.shard = s.shard
