@@ -8,11 +8,12 @@ generator of common page layouts, and blocks are decoded by Viterbi.
 from __future__ import annotations
 
 import html
+import itertools
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache
+from dataclasses import dataclass, replace
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from collatrix.llm.common import map_arrow, ship, table
 
 # Elements without text of the page, elements without content, elements inside a line,
 # and, of block elements, what an opening tag ends.
-DROPPED = frozenset("head script style noscript template svg iframe object canvas math audio video".split())
+DROPPED = frozenset("title script style noscript template svg iframe object canvas math audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
 ENDS = {
@@ -55,80 +56,160 @@ PHRASES = re.compile(
     r"advertis|sponsored|read more|share (?:this|on)|related|comment|reply|click here|menu|skip to|follow us|consent",
     re.I,
 )
-_TOKEN = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|[!?][^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _STEM = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag, or begins a quoted value in it.
+_IN_TAG = re.compile(r""">|=\s*["']""")
+#: Elements whose content is no markup: left open, they reach to the end of the page.
+RAW = frozenset("script style title iframe noscript".split())
+_SHUT = {t: re.compile(f"</{t}", re.I | re.A) for t in DROPPED}
+_BIT = {t: 1 << i for i, t in enumerate(TAGS)}
+_ROLE_BIT = {r: 1 << i for i, r in enumerate(ROLES)}
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Tags in page order, as (start, end, lower-case name, whether it closes, attributes); comments and
+    declarations have no name, and nothing between tags is looked at. What is dropped with its
+    content comes as one tag. Each character is looked at a bounded number of times: what was once
+    found missing in the rest of the page isn't searched again. A tag that never ends, or a comment,
+    reaches to the end of the page; a quote that never closes is an ordinary character."""
+    at, n = 0, len(page)
+    missing: set[str] = set()
+
+    def ahead(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while (start := ahead("<", at)) >= 0:
+        after = page[start + 1 : start + 2]
+        if after == "!" or after == "?":
+            end = ahead("-->", start + 4) + 3 if page.startswith("<!--", start) else ahead(">", start) + 1
+            end = end if end > start else n
+            yield start, end, "", False, ""
+            at = end
+            continue
+        closes = after == "/"
+        name = _NAME.match(page, start + 1 + closes)
+        if name is None:
+            at = start + 1
+            continue
+        place, end = name.end(), n
+        while m := _IN_TAG.search(page, place):
+            if m[0] == ">":
+                end = m.end()
+                break
+            shut = ahead(m[0][-1], m.end())
+            place = shut + 1 if shut >= 0 else m.end()
+        word, attributes = name[0].lower(), page[name.end() : max(name.end(), end - 1)]
+        if word in DROPPED and not closes and not attributes.endswith("/"):
+            shut = None if f"</{word}" in missing else _SHUT[word].search(page, end)
+            if shut is None:
+                missing.add(f"</{word}")
+                end = n if word in RAW else end
+            else:
+                close = ahead(">", shut.end())
+                end = close + 1 if close >= 0 else n
+        yield start, end, word, closes, attributes
+        at = end
 
 
 @dataclass
 class Block:
-    """One leaf block: its text, the tags above it from the outside, roles above it with how far they
-    stand (0 nearest), and characters in links."""
+    """One leaf block: its text, which tags and roles stand above it as bit sets (``near``: roles of the
+    two nearest elements, ``far``: those that only others have), the innermost tag, whether the
+    nearest element with a role is main content, and characters in links."""
 
     text: str
-    tags: tuple[str, ...]
-    roles: tuple[tuple[str, ...], ...]
+    tags: int
+    leaf: str
+    near: int
+    far: int
+    in_body: bool
     linked: int
 
 
-def _roles(attributes: str) -> tuple[str, ...]:
+def _roles(attributes: str) -> int:
     if "=" not in attributes:
-        return ()
-    words = [s for m in _ATTRIBUTE.finditer(attributes) for s in _STEM.findall((m[1] or m[2] or m[3] or "").lower())]
-    return tuple(dict.fromkeys(_ROLE_OF[w] for w in words if w in _ROLE_OF))
+        return 0
+    out = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        for s in _STEM.findall((m[1] or m[2] or m[3] or "").lower()):
+            if s in _ROLE_OF:
+                out |= _ROLE_BIT[_ROLE_OF[s]]
+    return out
+
+
+class _Stack:
+    """Open elements. Each holds the sets of tags and roles from the outside to itself, and places of open
+    elements are kept by name, so no question walks over the stack."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, int, int, int]] = []  # name, tags, roles, all roles, the nearest that aren't empty
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, roles: int) -> None:
+        _, tags_, _, all_, nearest = self.rows[-1] if self.rows else ("", 0, 0, 0, 0)
+        self.places.setdefault(name, []).append(len(self.rows))
+        self.rows.append((name, tags_ | _BIT.get(name, 0), roles, all_ | roles, roles or nearest))
+
+    def last(self, names: tuple[str, ...]) -> int:
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+
+    def cut(self, at: int) -> None:
+        while len(self.rows) > at:
+            self.places[self.rows.pop()[0]].pop()
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order. Inline elements and line breaks stay inside a block; scripts, styles,
-    comments and other markup go; character references are decoded and white space is one space."""
+    comments and other markup go; character references are decoded and white space is one space.
+    Time and memory are linear in the page, however broken its markup is."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     pieces: list[str] = []
-    linked = 0
-    in_link = 0
-    hints: list[tuple[str, ...]] = []  # roles of inline elements open in this block
+    linked = in_link = 0
+    hints: list[int] = []  # roles of the last inline elements open in this block, at most two, and of all of them
+    hinted = 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, hinted
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), tuple([r for _, r in stack] + hints), min(linked, len(text))))
+                name, tags_, _, all_, nearest = stack.rows[-1] if stack.rows else ("", 0, 0, 0, 0)
+                near = 0
+                for r in [*[r[2] for r in stack.rows[-2:]], *hints][-2:]:
+                    near |= r
+                nearest = next((h for h in reversed(hints) if h), nearest)
+                out.append(Block(text, tags_, name, near, (all_ | hinted) & ~near, bool(nearest & _ROLE_BIT["body"]), min(linked, len(text))))
             pieces.clear()
         hints.clear()
-        linked = 0
+        linked = hinted = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        tag = _TOKEN.search(page, at)
-        upto = tag.start() if tag else n
-        if upto > at:
-            pieces.append(page[at:upto])
+    at = 0
+    for start, end, name, closes, attributes in itertools.chain(tags(page), [(len(page), len(page), "", False, "")]):
+        if start > at:
+            pieces.append(page[at:start])
             if in_link:
-                linked += upto - at
-        if tag is None:
-            break
-        at = tag.end()
-        name = (tag[2] or "").lower()
+                linked += start - at
+        at = end
         if not name:
             continue
-        if tag[1]:  # a closing tag
+        if closes:
             if name == "a":
                 in_link = 0
-            elif name == "p" and not any(t == "p" for t, _ in stack):
+            elif name == "p" and not stack.places.get("p"):
+                close()
+            elif name not in INLINE and name not in VOID and stack.places.get(name):
                 close()
-            elif name not in INLINE and name not in VOID:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        close()
-                        del stack[i:]
-                        break
+                stack.cut(stack.places[name][-1])
             continue
-        if name in DROPPED and not tag[3].endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            if end is None and name == "head":
-                end = re.compile(r"(?=<body\b)", re.I).search(page, at)
-            at = end.end() if end else n
+        if name in DROPPED:
             close() if name not in ("svg", "math") else None
             continue
         if name in VOID:
@@ -140,21 +221,18 @@ def blocks(page: str) -> list[Block]:
         if name in INLINE:
             if name == "a":
                 in_link = 1
-            if r := _roles(tag[3]):
-                hints.append(r)
+            if r := _roles(attributes):
+                hints[:] = [*hints[-1:], r]
+                hinted |= r
             continue
         close()
         in_link = 0
         ends, within = ENDS.get(name, ("", ()))
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in within:
-                break
-            if stack[i][0] in ends.split():
-                del stack[i:]
-                break
-        if stack and stack[-1][0] == "p":  # a block element ends a paragraph
-            stack.pop()
-        stack.append((name, _roles(tag[3])))
+        if ends and (place := stack.last(tuple(ends.split()))) > stack.last(within):
+            stack.cut(place)
+        if stack.rows and stack.rows[-1][0] == "p":  # a block element ends a paragraph
+            stack.cut(len(stack.rows) - 1)
+        stack.push(name, _roles(attributes))
     close()
     return out
 
@@ -173,40 +251,39 @@ for _f in (
     _NAMES[_f] = len(_NAMES)
 
 
+@lru_cache(4096)
+def _above(tags_: int, leaf: str, near: int, far: int, in_body: bool) -> tuple[int, ...]:
+    """Numbers of the features of what stands above a block, which few kinds of places share."""
+    f = ["bias", *[f"in {t}" for t, bit in _BIT.items() if tags_ & bit], f"leaf {leaf}" if leaf else "no tag"]
+    f += [f"near {r}" for r, bit in _ROLE_BIT.items() if near & bit] + [f"far {r}" for r, bit in _ROLE_BIT.items() if far & bit]
+    f += ["article or body near"] * in_body
+    return tuple(_NAMES[x] for x in f if x in _NAMES)
+
+
 def features(page: list[Block]) -> list[list[int]]:
     """Numbers of the features that each block has."""
-    has_article = any("article" in b.tags or "main" in b.tags for b in page)
+    article = _BIT["article"] | _BIT["main"]
+    has_article = any(b.tags & article for b in page)
     out = []
     for i, b in enumerate(page):
-        f = {"bias"}
-        f.update(f"in {t}" for t in b.tags)
-        f.add(f"leaf {b.tags[-1]}" if b.tags else "no tag")
-        seen: set[str] = set()
-        for depth, roles in enumerate(reversed(b.roles)):
-            for r in roles:
-                if r not in seen:
-                    f.add(f"{'near' if depth < 2 else 'far'} {r}")
-                    seen.add(r)
-        nearest = next((roles for roles in reversed(b.roles) if roles), ())
-        if "body" in nearest:
-            f.add("article or body near")
+        f = []
         words = b.text.count(" ") + 1
-        f.add("words 1" if words == 1 else "words 4" if words <= 4 else "words 10" if words <= 10 else "words 25" if words <= 25 else "words more")
+        f.append("words 1" if words == 1 else "words 4" if words <= 4 else "words 10" if words <= 10 else "words 25" if words <= 25 else "words more")
         share = b.linked / len(b.text)
-        f.add("links none" if not b.linked else "links some" if share < 0.5 else "links most")
-        if share >= 0.5 and "li" in b.tags:
-            f.add("list of links")
+        f.append("links none" if not b.linked else "links some" if share < 0.5 else "links most")
+        if share >= 0.5 and b.tags & _BIT["li"]:
+            f.append("list of links")
         if b.text[-1] in ".!?:;\"')”»":
-            f.add("sentence")
+            f.append("sentence")
         if PHRASES.search(b.text):
-            f.add("phrase in short" if words <= 25 else "phrase")
+            f.append("phrase in short" if words <= 25 else "phrase")
         if i == 0:
-            f.add("first")
+            f.append("first")
         if i == len(page) - 1:
-            f.add("last")
-        if has_article and not ("article" in b.tags or "main" in b.tags):
-            f.add("outside article")
-        out.append([_NAMES[x] for x in f if x in _NAMES])
+            f.append("last")
+        if has_article and not b.tags & article:
+            f.append("outside article")
+        out.append([*_above(b.tags, b.leaf, b.near, b.far, b.in_body), *[_NAMES[x] for x in f]])
     return out
 
 
@@ -394,7 +471,8 @@ def labelled_pages(number: int, seed: int) -> list[tuple[list[Block], list[int]]
         for b in blocks(maker.page()):
             marks = _MARK.findall(b.text)
             labels.append(int(marks[0]) if marks else 0)
-            page.append(Block(text, b.tags, b.roles, min(b.linked, len(text))) if (text := _MARK.sub("", b.text).strip()) else Block("x", b.tags, b.roles, 0))
+            text = _MARK.sub("", b.text).strip()
+            page.append(replace(b, text=text or "x", linked=min(b.linked, len(text))))
         if page:
             out.append((page, labels))
     return out
@@ -414,7 +492,9 @@ def extract(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("pa
     """The columns ``keep`` and ``text`` of each row: its main blocks, joined by newlines.
 
     Null or empty html gives the empty text, and so does a page without main blocks. Broken markup
-    is read as far as it goes (unclosed elements end with their parent, stray ends are ignored).
+    is read as far as it goes (unclosed elements end with their parent, stray ends are ignored; of
+    what is dropped with its content, only scripts, styles, titles, frames and noscript reach to the
+    end of the page if they aren't closed). Reading takes time linear in the page.
     The whole html is read and nothing is cut. Repeated rows give repeated results; an empty table
     gives no rows; columns not in ``keep`` are ignored.
     """
