@@ -2,16 +2,24 @@
 
 Hosts are the nodes and links between pages of different hosts the edges. Trust is a personalised
 PageRank from hosts with allowed pages along the links; distrust is one from hosts with blocked
-pages against them, as who links to a bad host is suspect. A host whose share of distrust reaches
-the threshold is blocked.
+pages against them, as who links to a bad host is suspect. A path rule so weighs on its host by
+the share of the host's pages that it fits. A host whose share of distrust reaches the threshold
+is blocked, for pages that no rule fits.
 """
 
 from __future__ import annotations
 
+import html
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatrix.llm.common import UPPER, stage, table
+from collatrix.llm.common import UPPER, map_arrow, ship, stage, table
+from collatrix.llm.op2_extract import tags
 
 #: (verdict, host, path): a rule fits its host and subdomains if the url's path starts with its path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -19,9 +27,13 @@ DAMPING = 0.85
 ROUNDS = 20
 #: Rounds between cuts of the lineage.
 STAGE_EVERY = 5
-THRESHOLD = 0.5
+#: Share of distrust in a host's weight. A host of one plain page whose only link goes to a blocked host
+#: that nobody else links to has 0.46.
+THRESHOLD = 0.3
 MOST_RULES = 500
-_LINK = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_HREF = re.compile(r"""(?:^|\s|["'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_SCHEME = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
+_NAMES_HOST = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//")
 
 
 def host_of(url: Column) -> Column:
@@ -45,11 +57,38 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*[F.when(fits(h, p), struct(v, h, p)) for v, h, p in order], F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, link, n) of the links of each page that name a host, from its anchors and areas; ``base``
+    elements count. Scripts and comments have no anchors, and character references are decoded."""
+    for batch in batches:
+        urls, found, many = [], [], []
+        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            counts, base = Counter(), ""
+            for _, _, name, closes, attributes in tags(page):
+                if closes or name not in ("a", "area", "base") or not (m := _HREF.search(attributes)):
+                    continue
+                href = re.sub(r"[\t\n\r]", "", html.unescape(m[1] or m[2] or m[3] or "")).strip(" \x0c")
+                if name == "base":
+                    base = base or href
+                elif "//" in href.split("?")[0].split("#")[0] and _NAMES_HOST.match(href):
+                    counts[href[href.index("//") :]] += 1
+                elif base and not _SCHEME.match(href) and not href.startswith("#"):
+                    counts[base[base.index("//") :] if "//" in base else ""] += 1
+            for link, n in counts.items():
+                if link:
+                    urls.append(url)
+                    found.append("x:" + link)
+                    many.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(found, pa.string()), pa.array(many, pa.int64())], names=["url", "link", "n"])
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links between different hosts, by number; absolute and ``//host`` links only."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("href"))
-    links = links.filter(F.col("href").contains("//")).withColumn("dst", host_of(F.when(F.startswith("href", F.lit("//")), F.concat(F.lit("http:"), "href")).otherwise(F.col("href"))))
-    return links.filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """(src, dst, n): links between different hosts, by number. Links without a host are to the page's own
+    host or that of its ``base`` element. Pages without ``//`` or a character reference have none."""
+    ship(pages.sparkSession)
+    may = pages.filter(F.col("url").contains("://") & (F.col("html").contains("//") | F.col("html").contains("&"))).select("url", "html")
+    links = map_arrow(may, _links, "url string, link string, n long").select(host_of(F.col("url")).alias("src"), host_of(F.col("link")).alias("dst"), "n")
+    return links.filter((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
@@ -64,7 +103,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     steps = stage(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("_all")).alias("share")), "url-edges")
     base = seeds.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
     scores = base
-    if steps.isEmpty():
+    if not steps.limit(1).count():
         return scores
     for i in range(1, rounds + 1):
         passed = scores.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
@@ -75,21 +114,26 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
 
 def host_verdicts(pages: DataFrame, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, trust, distrust, share, by_links) of the hosts that have any score."""
-    seen = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    seen = seen.withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules)).filter(F.col("_fit").isNotNull() & (F.col("host") != ""))
-    counts = stage(seen.groupBy("host", F.when(F.col("_fit.verdict") == "allow", "trust").otherwise("distrust").alias("kind")).agg(F.count("*").alias("n")), "url-seeds")
-    total = counts.groupBy("kind").agg(F.sum("n").alias("all"))  # two rows
-    seeds = stage(counts.join(F.broadcast(total), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("score")), "url-seed-scores")
-    edges = host_edges(pages)
-    both = edges.select(F.explode(F.array(
-        F.struct(F.lit("trust").alias("kind"), "src", "dst", "n"),
-        F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"),
-    )).alias("e")).select("e.*")
+    """(host, trust, distrust, plain, share, by_links) of the hosts that have any score.
+
+    Seeds weigh by pages, all kinds on one scale: allowed pages trust, blocked pages distrust, and
+    pages that no rule fits are plain. Trust and plain weight flow along links, distrust against
+    them. A host's share of distrust is that of all its weight, so neither one blocked page among
+    many nor one link to a blocked host makes a large host suspect.
+    """
+    seen = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter(F.col("host") != "")
+    verdict = fitting_rule(F.col("host"), F.col("path"), rules)["verdict"]
+    kind = F.when(verdict == "allow", "trust").when(verdict == "block", "distrust").otherwise("plain")
+    counts = stage(seen.groupBy("host", kind.alias("kind")).agg(F.count("*").alias("n")), "url-seeds")
+    total = counts.agg(F.sum("n").alias("all"))  # one row
+    seeds = stage(counts.crossJoin(F.broadcast(total)).select("kind", "host", (F.col("n") / F.col("all")).alias("score")), "url-seed-scores")
+    edges = stage(host_edges(pages), "url-links")
+    along = lambda kind, src, dst: F.struct(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), "n")
+    both = edges.select(F.explode(F.array(along("trust", "src", "dst"), along("plain", "src", "dst"), along("distrust", "dst", "src"))).alias("e")).select("e.*")
     scores = propagate(both, seeds, damping, rounds)
     one = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
-    found = scores.groupBy("host").agg(one("trust"), one("distrust"))
-    found = found.withColumn("share", F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9))
+    found = scores.groupBy("host").agg(one("trust"), one("distrust"), one("plain"))
+    found = found.withColumn("share", F.round(F.col("distrust") / (F.col("trust") + F.col("distrust") + F.col("plain")), 9))
     return found.withColumn("by_links", F.when(F.col("share") >= threshold, "block").otherwise("allow"))
 
 
