@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,20 +154,20 @@ def _scan(index: BenchmarkIndex):
     return run
 
 
-def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[list[tuple[str, str]]]:
-    """Items with text, split into parts of at most ``part_bytes`` (a longer single item is a part).
+def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
+    """Items with text as (part, item, text), staged, and how many parts there are: as many as hold
+    ``part_bytes`` each. Items are dealt to parts by their hash, so parts are of like size, and the
+    driver only ever holds one. A single item larger than a part is held as a whole."""
+    rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    size = rows.agg(F.sum(F.char_length("text").cast("long") * 4).alias("n")).first().n or 0
+    many = max(1, -(-size // part_bytes))
+    dealt = rows.select(F.pmod(F.xxhash64("item", "text"), F.lit(many)).alias("part"), "item", "text")
+    return stage(dealt.repartition("part"), "leaks-items"), many
 
-    A part is what one task's broadcast may hold; a benchmark is at most a few parts, and one too
-    large for the driver's memory should be cut by the caller."""
-    parts, size = [[]], 0
-    rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string"), "text")
-    for item, text in rows.toLocalIterator():
-        if parts[-1] and size + len(text) * 4 > part_bytes:
-            parts.append([])
-            size = 0
-        parts[-1].append((item, text))
-        size += len(text) * 4
-    return parts
+
+def _index(items: DataFrame, part: int) -> BenchmarkIndex:
+    own = items.filter(F.col("part") == part).select("item", "text").orderBy("item", "text").collect()  # one part, so bounded
+    return BenchmarkIndex([r.item for r in own], [r.text for r in own])
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), part_bytes: int = PART_BYTES) -> DataFrame:
@@ -180,27 +181,36 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     that of 64-bit hashes of word runs.
 
     Nothing is shuffled when the benchmark fits one part. Otherwise the rows are staged with a
-    number each, every part is searched in turn and the spans of a row are merged by its number, so
-    results do not depend on the parts.
+    number each; the parts are searched one after another, each part's index sent and its hits
+    staged before the next is built, and the spans of a row are merged by its number, so results do
+    not depend on the parts. Only rows with hits are merged.
     """
     more = "n_words long, spans array<int>, items array<string>"
-    parts = benchmark_parts(benchmark, part_bytes)
+    items, many = benchmark_parts(benchmark, part_bytes)
     spark = docs.sparkSession
     ship(spark)
 
-    def search(rows: DataFrame, part, names) -> DataFrame:
-        index = spark.sparkContext.broadcast(BenchmarkIndex([i for i, _ in part], [t for _, t in part]))
-        return map_arrow(rows, lambda batches: _scan(index.value)(batches), with_fields(rows, names, more))
+    def search(rows: DataFrame, part: int, names) -> tuple[DataFrame, Broadcast]:
+        index = spark.sparkContext.broadcast(_index(items, part))
+        return map_arrow(rows, lambda batches: _scan(index.value)(batches), with_fields(rows, names, more)), index
 
     rows = docs.select(*keep, *([] if "_row" in keep else ["text"]))
-    if len(parts) == 1:
-        return search(rows, parts[0], keep)
+    if many == 1:
+        return search(rows, 0, keep)[0]
     rows = stage(rows.withColumn(_NUMBER, F.monotonically_increasing_id()), "leaks-rows")
     texts = rows.select(_NUMBER, F.col("_row.text" if "_row" in keep else "text").alias("text"))
-    found = reduce(DataFrame.unionByName, [search(texts, part, (_NUMBER,)) for part in parts])
-    merged = found.groupBy(_NUMBER).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.collect_list("spans").alias("_all"))
-    merged = merged.select(_NUMBER, "n_words", _merge_spans(F.col("_all")).alias("spans"), F.array_distinct("items").alias("items"))
-    return rows.select(_NUMBER, *keep).join(merged, _NUMBER).select(*keep, "n_words", "spans", "items")
+    hit, words = [], None
+    for part in range(many):
+        found, index = search(texts, part, (_NUMBER,))
+        found = stage(found, "leaks-part") if part == 0 else stage(found.filter(F.size("spans") > 0), "leaks-part")
+        index.destroy()
+        words = found.select(_NUMBER, "n_words") if part == 0 else words
+        hit.append(found.filter(F.size("spans") > 0).select(_NUMBER, "spans", "items"))
+    merged = reduce(DataFrame.unionByName, hit).groupBy(_NUMBER).agg(F.flatten(F.collect_list("items")).alias("items"), F.collect_list("spans").alias("_all"))
+    merged = merged.select(_NUMBER, _merge_spans(F.col("_all")).alias("spans"), F.array_distinct("items").alias("items"))
+    whole = rows.select(_NUMBER, *keep).join(words, _NUMBER).join(merged, _NUMBER, "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return whole.select(*keep, "n_words", none("spans", "int"), none("items", "string"))
 
 
 def _merge_spans(lists):
