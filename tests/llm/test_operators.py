@@ -108,6 +108,51 @@ def test_pagerank_matches_matrix(spark):
     assert all(abs(got.get(h, 0) - score[h]) < 1e-12 for h in hosts)
 
 
+def test_links_are_those_of_anchors(spark):
+    from collatrix.llm.op1_urls import host_edges
+
+    page = """<head><base href='//Base.com/x/'></head><script>var a = "<a href='http://script.com/'>";</script><!-- <a href="http://comment.com/"> -->
+    <a href="http://one.com/a?b=//z"><a class=x HREF='//two.com'>t</a><area href=https&#58;&#47;&#47;three.com/><a href="/own">o</a><a href="mailto:x@y//z"> <img src="http://image.com/"><a href="?u=http://query.com/">"""
+    df = spark.createDataFrame([("http://me.com/", page), ("http://me.com/q", "<a href=//one.com>"), ("http://me.com/z", "<a href='http://me.com/y'>"), (None, page), ("http://me.com", None)], "url string, html string")
+    got = {(r.src, r.dst): r.n for r in host_edges(df).collect()}
+    assert got == {("me.com", "one.com"): 2, ("me.com", "two.com"): 1, ("me.com", "three.com"): 1, ("me.com", "base.com"): 2}
+
+
+def test_verdicts_that_only_links_decide(spark):
+    """A web of hosts with few seeds, against plain Python, with hosts that no rule touches on both sides."""
+    from collatrix.llm import op1_urls as o
+
+    rng = random.Random(6)
+    hosts = [f"h{i}.com" for i in range(30)] + ["bad1.net", "bad2.net", "ok.org"]
+    pages, links = [], {}
+    for i, h in enumerate(hosts):
+        for p in range(rng.randint(1, 3)):
+            near = ["bad1.net", "bad2.net"] if i < 6 else ["ok.org"] if i < 12 else []
+            out = near + rng.sample(hosts, rng.randint(0, 2) if i >= 6 else 0)
+            pages.append((len(pages), f"http://{h}/{'fr/' if h == 'ok.org' else ''}{p}", "".join(f'<a href="http://{x}/">' for x in out)))
+            for x in out:
+                if x != h:
+                    links[h, x] = links.get((h, x), 0) + 1
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    seeds = {k: {h: sum(u.split("/")[2] == h for _, u, _ in pages) / len(pages) for h in hosts if kind(h) == k} for kind in [lambda h: "distrust" if h.endswith(".net") else "trust" if h == "ok.org" else "plain"] for k in ("trust", "distrust", "plain")}
+    scores = {}
+    for k, own in seeds.items():
+        edges = {(b, a): n for (a, b), n in links.items()} if k == "distrust" else links
+        total = {h: sum(n for (a, _), n in edges.items() if a == h) for h in hosts}
+        base = {h: (1 - o.DAMPING) * own.get(h, 0) for h in hosts}
+        s = dict(base)
+        for _ in range(o.ROUNDS):
+            new = dict(base)
+            for (a, b), n in edges.items():
+                new[b] += o.DAMPING * s[a] * n / total[a]
+            s = new
+        scores[k] = s
+    expected = {h: "block" if scores["distrust"][h] / sum(scores[k][h] for k in scores) >= o.THRESHOLD else "allow" for h in hosts}
+    got = {r.host: r.verdict for r in o.filter_urls(df).filter("rule is null").collect()}
+    assert got == {h: v for h, v in expected.items() if h.startswith("h")}
+    assert {"allow", "block"} <= set(got.values())
+
+
 # 2 ---------------------------------------------------------------------------------------------
 
 
@@ -126,6 +171,44 @@ def test_extraction(spark):
     assert o.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_of_whole_pages():
+    """Pages written by hand, not by the training generator, with their texts."""
+    from collatrix.llm import op2_extract as o
+
+    long = "This sentence is part of the article and says something about the matter at hand."
+    pages = {
+        f"<title>T</title><body><header><h2>Site name</h2></header><nav><a href=/>Home</a> <a href=/b>About</a></nav><main><h1>Heading here</h1><p>{long}</p><ul><li>{long}</li><li>{long}</li></ul></main><footer>Copyright 2020 Site</footer>": f"Heading here\n{long}\n{long}\n{long}",
+        f"<!doctype html><head><meta charset=utf-8><title>x</title><style>p{{}}</style><div id=cookie-notice>We use cookies on this site.</div><article class=post><h1>A title</h1><p>{long}<p>{long} &lt;b&gt; &amp;c</article><aside class=sidebar><h4>Related</h4><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></aside><section id=comments><p>I liked it a lot, thanks!</p></section>": f"A title\n{long}\n{long} <b> &c",
+        f"<div class=advert>Buy now, great offers!</div><div class=content><h1>Words</h1><svg><title>no</title><p>{long}</p></svg><p>{long}</p><object><p>{long}</p><form action=/s><input><button>Search</button></form></div>": f"Words\n{long}\n{long}",
+    }
+    for page, text in pages.items():
+        assert o.main_text(page, o.trained()) == text
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<a '", "<a b='", "<li><div>", "</p><dt>y", "<svg>", "<!--", "<td><table>", "</x>", "<head>z", "<p class=a", "&amp;<br>", "<p =\"'>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    from collatrix.llm import op2_extract as o
+
+    model = o.trained()
+    began = time.process_time()
+    o.main_text(piece * ((1 << 20) // len(piece)), model)
+    assert time.process_time() - began < 40
+
+
+def test_unclosed_elements_lose_nothing():
+    from collatrix.llm.op2_extract import blocks
+
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<head><title>t</title><meta x><p>one<div>two") == ["one", "two"]
+    for name in ("object", "svg", "video", "audio", "canvas", "math", "template"):
+        assert texts(f"<p>one</p><{name}><p>two</p>") == ["one", "two"]
+        assert texts(f"<p>one</p><{name}>x</{name}><p>two</p>") == ["one", "two"]
+    assert texts("<p>a</p><script>x<p>y") == ["a"] and texts("<p>a</p><!-- <p>b") == ["a"]
+    assert texts("<p title=\"a>b\">c</p><p title='>d'>e <b q=\"f>g") == ["c", "e g"]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
