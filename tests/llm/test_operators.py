@@ -317,6 +317,11 @@ def test_jaccard(spark, texts, empty, monkeypatch, small):
     if small:  # other plans: many frequent shingles, plain joins instead of broadcasts
         monkeypatch.setattr(o, "FREQUENT", 1)
         monkeypatch.setattr(o, "BROADCAST_NODES", -1)
+        monkeypatch.setattr(o, "BLOCK", 4)
+        monkeypatch.setattr(o, "SHORT_LIST", 3)
+        monkeypatch.setattr(o, "SUB_BLOCK", 2)
+        monkeypatch.setattr(o, "HOT", 5)
+        monkeypatch.setattr(o, "ROUNDS", 1)
     rng = random.Random(7)
     base = [f"q{i}" for i in range(60)]
     family = [" ".join(w if rng.random() > 0.04 else f"z{rng.randrange(50)}" for w in base) for _ in range(40)]
