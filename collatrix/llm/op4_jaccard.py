@@ -3,7 +3,7 @@
 Documents are sets of 5-word shingles, each ordered by a global order (frequent shingles last), and
 only prefixes are indexed. Index lists are cut into blocks by size and place, and two blocks are
 skipped as a whole, before any pair is made, where sizes and places leave no room for enough
-overlap. Answers are derived from those of similar sets: equal sets share one node; in every list
+overlap; pairs whose sketches already differ in too many bits go at once. Answers are derived from those of similar sets: equal sets share one node; in every list
 sets are first compared with few pivots; a set's closest answered set then leads it. What the
 leaders of two sets have in common, with how far the sets are from their leaders, bounds what the
 sets have in common, so most remaining pairs are answered without comparing them, from one answer
@@ -36,6 +36,8 @@ LEAST_GROUPS = 64
 ROUNDS = 3
 PIVOTS = 6
 PROPOSALS = 2
+#: Partners, those it shares most lists with, that a set is compared with before all that are left.
+CLOSEST = 4
 #: A pivot is worth comparing with if it shares one in so many shingles of the prefix.
 LIKELY = 8
 #: Lists up to this length are compared together with others of their length.
@@ -46,6 +48,8 @@ BLOCK = 4096
 #: Entries of a block that are skipped together, and the step of sizes that share a block.
 SUB_BLOCK = 128
 SIZE_STEP = 1.15
+#: Bits of a set's sketch.
+SKETCH = 512
 #: Documents of a shingle above which its entries are gathered in several parts.
 HOT = 200_000
 #: Nodes up to which a filter is broadcast (24 bytes each); beyond it is an ordinary join.
@@ -94,6 +98,17 @@ class Sets:
         self.node = tk.mix(total[self.first[1:]] - total[self.first[:-1]] + self.size.astype(tk.U)).view(np.int64)
 
 
+    def sketches(self) -> np.ndarray:
+        """Of each set, the parities of how many shingles fall into each of ``SKETCH`` bits: two sets differ
+        in at least as many shingles as their sketches do in bits."""
+        key = np.sort(self.text * SKETCH + (self.hash & tk.U(SKETCH - 1)).astype(np.int64))
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        odd = key[first[np.diff(np.append(first, len(key))) % 2 == 1]]
+        out = np.zeros(len(self.size) * SKETCH // 8, np.uint8)
+        np.bitwise_or.at(out, odd >> 3, (1 << (odd & 7)).astype(np.uint8))
+        return out.reshape(len(self.size), SKETCH // 8)
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Sets]]:
     data, offsets = tk.utf8(batch.column("text"))
     for lo, hi in tk.chunks(offsets):
@@ -104,7 +119,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, sets in _chunks(batch):
             rows = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("mark"), pa.array(sets.size.astype(np.int64)), pa.array(sets.node)], names=["doc_id", "mark", "n", "node"])
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH // 8), hi - lo, [None, pa.py_buffer(sets.sketches())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("mark"), pa.array(sets.size.astype(np.int64)), pa.array(sets.node), sketch], names=["doc_id", "mark", "n", "node", "sketch"])
 
 
 def _blobs(groups: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -238,22 +254,32 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.array(batch.column(c)).astype(np.int64) for c in ("list", "node", "size", "place", "label", "weight")]
 
 
+def _sketched(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [*_columns(batch), np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(batch), SKETCH // 64)]
+
+
 def _star(salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(node, pivot, size, n): in how many lists a pivot is next to a node of another component.
 
         A pivot is the least, under a random order that is the same for all lists, of the nodes of
         a list's largest component (``weight`` is its size), so few nodes are pivots and a family
-        of similar sets meets the same ones everywhere."""
+        of similar sets meets the same ones everywhere. The first pivot is the one with the most
+        links so far (``degree``): it stands in the middle of its component, so that components of
+        one family find one another."""
         for batch in batches:
             key, node, size, place, label, weight = _columns(batch)
             if not len(key):
                 continue
+            degree = np.minimum(np.array(batch.column("degree")).astype(np.int64), (1 << 23) - 1).astype(tk.U)
             first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
             heavy = weight == np.maximum.reduceat(weight, first)[of]
             for turn in range(PIVOTS):
-                draw = np.where(heavy, tk.mix(node.view(tk.U) + tk.U(salt * PIVOTS + turn + 1)) >> tk.U(1), tk.U((1 << 64) - 1))
+                draw = tk.mix(node.view(tk.U) + tk.U(salt * PIVOTS + turn + 1)) >> tk.U(1)
+                if turn == 0:
+                    draw = (tk.U((1 << 23) - 1) - degree << tk.U(40)) | (draw >> tk.U(24))
+                draw = np.where(heavy, draw, tk.U((1 << 64) - 1))
                 at = np.flatnonzero(draw == np.minimum.reduceat(draw, first)[of])
                 pivot = np.zeros(len(first), np.int64)
                 pivot[of[at]] = at
@@ -277,11 +303,14 @@ class _Overlaps:
         self.rows = 0
 
     def keep(self, columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> None:
-        _, node, size, place, label, weight = columns
+        _, node, size, place, label, weight, sketch = columns
         n, m, i, j = size[x], size[y], place[x], place[y]
         ok = (label[x] != label[y]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
         ok &= _most(n, i, m, j) >= overlap_needed(n, m)
         x, y = x[ok], y[ok]
+        apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+        ok = (size[x] + size[y] - apart) // 2 >= overlap_needed(size[x], size[y])
+        x, y = x[ok], y[ok]
         swap = (weight[x] > weight[y]) | ((weight[x] == weight[y]) & (node[x] > node[y]))
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         self.found.append(np.stack([node[x], size[x], node[y], size[y], _room(size[x], place[x], size[y], place[y])], 1))
@@ -312,7 +341,7 @@ class _Overlaps:
 def _cut(columns: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Some entries of a list ordered by size step and place, the starts of their blocks, and of each block
     the least and greatest size, place and label."""
-    _, node, size, place, label, _ = columns
+    _, node, size, place, label, *_ = columns
     step = np.floor(np.log(np.maximum(size[rows], 1)) / np.log(SIZE_STEP))
     rows = rows[np.lexsort((node[rows], place[rows], step))]
     first = np.arange(0, len(rows), SUB_BLOCK)
@@ -351,8 +380,8 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial overlaps in lists of at most ``BLOCK`` entries, which come sorted by list. Lists of one
     short length are taken together."""
     out = _Overlaps()
-    for columns in _whole_keys(batches, _columns, []):
-        key, _, _, _, label, _ = columns
+    for columns in _whole_keys(batches, _sketched, []):
+        key = columns[0]
         first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
         length = np.diff(np.append(first, len(key)))
         for n in np.unique(length[(length > 1) & (length <= SHORT_LIST)]).tolist():
@@ -372,7 +401,8 @@ _FIELDS = ("node", "size", "place", "label", "weight")
 
 def _pack_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One block of a long list: its entries as bytes, and its bounds."""
-    entries = np.ascontiguousarray(rows[list(_FIELDS)].to_numpy(np.int64))
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.int64).reshape(len(rows), SKETCH // 64)
+    entries = np.ascontiguousarray(np.hstack([rows[list(_FIELDS)].to_numpy(np.int64), sketch]))
     bounds = {f"{c}{k}": [int(f(rows[c]))] for c in ("size", "place", "label") for k, f in enumerate((min, max))}
     return pd.DataFrame({"list": [key[0]], "step": [key[1]], "salt": [key[2]], "entries": [entries.tobytes()], **bounds})
 
@@ -382,10 +412,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = _Overlaps()
     for batch in batches:
         for i in range(len(batch)):
-            sides = [np.frombuffer(batch.column(c)[i].as_py(), np.int64).reshape(-1, len(_FIELDS)) for c in ("x", "y")]
+            sides = [np.frombuffer(batch.column(c)[i].as_py(), np.int64).reshape(-1, len(_FIELDS) + SKETCH // 64) for c in ("x", "y")]
             same = batch.column("same")[i].as_py()
             both = sides[0] if same else np.concatenate(sides)
-            columns = [np.zeros(len(both), np.int64), *np.ascontiguousarray(both.T)]
+            fields, sketch = both[:, : len(_FIELDS)], np.ascontiguousarray(both[:, len(_FIELDS) :]).view(np.uint64)
+            columns = [np.zeros(len(both), np.int64), *np.ascontiguousarray(fields.T), sketch]
             left = np.arange(len(sides[0]))
             yield from _enumerate(columns, left, None if same else np.arange(len(left), len(both)), out)
     yield from out.rest()
@@ -397,7 +428,7 @@ def _long_lists(lists: DataFrame) -> DataFrame:
     blocks that may link are dealt to all tasks, so no task holds a list."""
     step = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(SIZE_STEP))).cast("int")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / BLOCK)).cast("int")
-    cut = lists.select("list", step.alias("step"), salt.alias("salt"), *_FIELDS)
+    cut = lists.select("list", step.alias("step"), salt.alias("salt"), *_FIELDS, "sketch")
     bounds = ", ".join(f"{c}{k} long" for c in ("size", "place", "label") for k in (0, 1))
     blocks = stage(cut.groupBy("list", "step", "salt").applyInPandas(_pack_block, f"list long, step int, salt int, entries binary, {bounds}"), "near-blocks")
     side = lambda name: blocks.select("list", *[F.col(c).alias(f"{name}_{c}") for c in blocks.columns if c != "list"])
@@ -431,9 +462,10 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], columns_of, held: list[np.nda
         yield held
 
 
-def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _enough(closest: int | None):
     """Pairs of probing sets, which come sorted, that may still link: behind the prefix of one of the two
-    sets all may be shared, before it only what the lists have shown."""
+    sets all may be shared, before it only what the lists have shown. With ``closest``, of each
+    probing set only so many, those with the most shared lists."""
 
     def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
         cells = {c: batch.column(c).to_pylist() for c in ("other", "other_size", "shared", "early")}
@@ -441,15 +473,25 @@ def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = lambda name, kind: np.frombuffer(b"".join(cells[name]), kind).astype(np.int64)
         return [np.repeat(np.array(batch.column("node")), many), np.repeat(np.array(batch.column("size")), many), joined("other", np.int64), *[joined(c, np.int32) for c in ("other_size", "shared", "early")]]
 
-    slices = (batch.slice(at, 256) for batch in batches for at in range(0, len(batch), 256))
-    for columns in _whole_keys(slices, unpacked, []):
-        order = np.lexsort((columns[2], columns[0]))
-        node, n, other, m, shared, early = [c[order] for c in columns]
-        edge = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (other[1:] != other[:-1])))
-        shared, early = np.add.reduceat(shared, edge), np.add.reduceat(early, edge)
-        node, n, other, m = node[edge], n[edge], other[edge], m[edge]
-        keep = (early > 0) & (shared + np.maximum(n - prefix(n), m - prefix(m)) >= overlap_needed(n, m))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, other)[keep]), pa.array(np.maximum(node, other)[keep])], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (batch.slice(at, 256) for batch in batches for at in range(0, len(batch), 256))
+        for columns in _whole_keys(slices, unpacked, []):
+            order = np.lexsort((columns[2], columns[0]))
+            node, n, other, m, shared, early = [c[order] for c in columns]
+            edge = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (other[1:] != other[:-1])))
+            shared, early = np.add.reduceat(shared, edge), np.add.reduceat(early, edge)
+            node, n, other, m = node[edge], n[edge], other[edge], m[edge]
+            keep = (early > 0) & (shared + np.maximum(n - prefix(n), m - prefix(m)) >= overlap_needed(n, m))
+            node, other, shared = node[keep], other[keep], shared[keep]
+            if closest is not None:
+                order = np.lexsort((other, -shared, node))
+                node, other = node[order], other[order]
+                first = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+                near = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node)))) < closest
+                node, other = node[near], other[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node, other)), pa.array(np.maximum(node, other))], names=["a", "b"])
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,13 +567,27 @@ def _answered(sets: DataFrame, pairs: DataFrame, sizes: DataFrame, leaders: Data
     return derived.filter("sure").select("a", "b").unionByName(_linking(_compared(sets, derived.filter("sure is null or not sure"), f"{tag}-rest")).select("a", "b"))
 
 
-def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that hold several components, with each entry's ``label`` and its component's size."""
+def _open(lists: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists that hold several components, with each entry's ``label``, its component's size and how
+    many links it has."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
-    known = lists.select("list", "node", "size", "place").join(labels.join(sizes, "label"), "node", "left")
-    known = known.withColumns({"label": F.coalesce("label", "node"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    known = lists.select("list", "node", "size", "place").join(labels.join(sizes, "label").join(degree, "node", "left"), "node", "left")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    known = known.withColumns({"label": F.coalesce("label", "node"), "weight": F.coalesce("weight", one), "degree": F.coalesce("degree", none)})
     mixed = known.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("length")).filter("x < y").select("list", "length")
-    return known.join(mixed, "list").select("list", "node", "size", "place", "label", "weight", "length").sortWithinPartitions("list")
+    return known.join(mixed, "list").select("list", "node", "size", "place", "label", "weight", "degree", "length").sortWithinPartitions("list")
+
+
+def _candidates(lists: DataFrame, nodes: DataFrame, closest: int | None) -> DataFrame:
+    """Pairs (a, b) that share lists but no component yet, and enough of their prefixes and sketches."""
+    parts = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    known = lists.join(nodes.select("node", "sketch"), "node")
+    short = known.filter(F.col("length") <= BLOCK).select("list", *_FIELDS, "sketch")
+    rest = map_arrow(short.repartition(parts, "list").sortWithinPartitions("list"), _rest, _PARTIAL)
+    if lists.filter(F.col("length") > BLOCK).limit(1).count():  # where there are none, this would be an empty plan
+        rest = rest.unionByName(_long_lists(known.filter(F.col("length") > BLOCK)))
+    return map_arrow(rest.repartition(parts, "node").sortWithinPartitions("node"), _enough(closest), "a long, b long").distinct()
 
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -545,10 +601,10 @@ def _linked(docs: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
     ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sizes = stage(map_arrow(docs, _sizes, f"doc_id {kind}, mark long, n long, node long"), "near-sizes")
+    sizes = stage(map_arrow(docs, _sizes, f"doc_id {kind}, mark long, n long, node long, sketch binary"), "near-sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    nodes = sizes.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("r"), F.first("n").alias("n"))
-    nodes = stage(nodes.select("node", "r.doc_id", "r.mark", "n"), "near-nodes")
+    nodes = sizes.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = stage(nodes.select("node", "r.doc_id", "r.mark", "n", "sketch"), "near-nodes")
     groups = lambda entries: max(LEAST_GROUPS, entries // GROUP_ENTRIES)
 
     bits = int(groups(total) - 1).bit_length()
@@ -570,28 +626,30 @@ def _linked(docs: DataFrame, staged: Staged) -> tuple[DataFrame, DataFrame]:
     tried = docs.sparkSession.createDataFrame([], "a long, b long")
     links = docs.sparkSession.createDataFrame([], "a long, b long, common long, na long, nb long")
     kept = lambda df: [df] if df.inputFiles() else []
-    lists = stage(_open(lists, labels), "near-open-0")
+    lists = stage(_open(lists, labels, links), "near-open-0")
     for turn in range(ROUNDS):
         met = map_arrow(lists, _star(turn), "node long, pivot long, size long, n long").groupBy("node", "pivot").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
         met = met.filter(F.col("n") * LIKELY >= F.col("size") / 4)  # others are left to the exact rest
         pairs = met.select("node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), "n").join(tried, ["a", "b"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "a", "b"))
-        pairs = stage(pairs.withColumn("_rank", rank).filter(F.col("_rank") <= PROPOSALS).select("a", "b").distinct(), f"near-pivots-{turn}")
+        pairs = pairs.withColumn("_rank", rank).filter(F.col("_rank") <= PROPOSALS).select("a", "b")
+        pairs = stage(pairs.distinct(), f"near-pivots-{turn}")
         tried = tried.unionByName(pairs)
         near = _linking(_compared(_sets(docs, nodes, pairs, f"near-{turn}"), pairs, f"near-{turn}"))
         links = links.unionByName(near)
         labels = stage(merge_components(labels, near.select("a", "b")), f"near-labels-{turn}")
-        lists = stage(_open(lists, labels), f"near-open-{turn + 1}")
+        lists = stage(_open(lists, labels, links), f"near-open-{turn + 1}")
         staged.drop(keep=[sizes, nodes, lists, labels, *kept(tried), *kept(links)])
 
-    # The rest: pairs that share lists but no component yet, and enough of their prefixes.
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    short = lists.filter(F.col("length") <= BLOCK).drop("length")
-    rest = map_arrow(short.repartition(parts, "list").sortWithinPartitions("list"), _rest, _PARTIAL)
-    if lists.filter(F.col("length") > BLOCK).limit(1).count():  # where there are none, this would be an empty plan
-        rest = rest.unionByName(_long_lists(lists.filter(F.col("length") > BLOCK)))
-    pairs = map_arrow(rest.repartition(parts, "node").sortWithinPartitions("node"), _enough, "a long, b long").distinct()
-    pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "near-rest")
+    # Sets are next compared with the few partners they share most lists with, which joins what is left
+    # of a family; and last with all that share enough and aren't of their component by then.
+    pairs = stage(_candidates(lists, nodes, CLOSEST).join(tried, ["a", "b"], "left_anti"), "near-closest")
+    tried = tried.unionByName(pairs)
+    near = _linking(_compared(_sets(docs, nodes, pairs, "near-closest"), pairs, "near-closest"))
+    links = links.unionByName(near)
+    labels = stage(merge_components(labels, near.select("a", "b")), "near-labels-closest")
+    lists = stage(_open(lists, labels, links), "near-open-rest")
+    pairs = stage(_candidates(lists, nodes, None).join(tried, ["a", "b"], "left_anti"), "near-rest")
     leaders = stage(_leaders(links), "near-leaders")
     led = leaders.select("node", "leader")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(led, "node", "left")
