@@ -220,9 +220,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
-    model = train(stage(measure(docs, ("doc_id",)), "quality-stats"), labels)
-    scored = score(measure(as_row(docs), ("_row",)), model, ("_row",))
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``. Rows are staged once with their
+    statistics, which serve training and scoring."""
+    stats = stage(measure(as_row(docs), ("_row",)), "quality-stats")
+    model = train(stats.select(F.col("_row.doc_id").alias("doc_id"), "stats"), labels)
+    scored = score(stats, model, ("_row",))
     return from_row(scored.filter(F.col("score") >= threshold), docs.columns)
 
 
