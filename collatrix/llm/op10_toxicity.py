@@ -1,7 +1,7 @@
 """Toxicity: a support vector machine over a gappy subsequence string kernel with Nystrom landmarks.
 
-A text is the set of its segments: words, where runs of one-letter words, as in spaced-out insults,
-are one segment. The kernel of two segments sums over their common subsequences of three letters,
+A text is the set of its segments: words, where runs of words of one character, as in spaced-out
+insults, are one segment. The kernel of two segments sums over their common subsequences of three letters,
 each weighted by ``DECAY`` to the power of the length it spans, so gaps and inserted characters
 cost little; characters that are no letters count as gaps. A text's similarity to a landmark is the
 greatest over its segments. The Nystrom map of these similarities gives the features on which a
@@ -29,6 +29,8 @@ SPAN = 8
 FLOOR = 0.5
 #: Longer segments are cut into overlapping windows, so that an insult in one isn't drowned.
 WIDTH, STRIDE = 24, 12
+#: Toxic training texts that hold a telling word at least.
+LEAST = 3
 TOXIC_LANDMARKS, PLAIN_LANDMARKS = 128, 32
 #: Labelled texts of each class that landmarks and machine are fitted on at most: those whose ids have the
 #: least hashes.
@@ -38,6 +40,9 @@ TRAIN_ROWS = 2500
 _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 28 + np.arange(128) % 4
+#: Bytes of the character that a byte begins.
+_BYTES = np.ones(256, np.int64)
+_BYTES[192:224], _BYTES[224:240], _BYTES[240:] = 2, 3, 4
 FAR_SLOTS = 1 << 20
 _OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 _VALID = np.zeros(1 << 15, np.float32)
@@ -53,7 +58,7 @@ class Segments:
         words = tk.Words(data, offsets, tk.SPACE)
         self.data, self.n_texts = words.data, len(offsets) - 1
         of = tk.owner(words.first, len(words))
-        single = words.end - words.start == 1
+        single = words.end - words.start == _BYTES[self.data[words.start]]
         joins = np.zeros(len(words), bool)
         joins[1:] = single[1:] & single[:-1] & (of[1:] == of[:-1])
         head = np.flatnonzero(~joins)
@@ -211,24 +216,25 @@ def landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
         """Words, which of them are long enough, and the texts of those, a chunk at a time."""
         for lo, hi in tk.chunks(offsets):
             words = tk.Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], tk.NOT_ALNUM)
-            usable = np.flatnonzero(words.end - words.start >= 4)
+            usable = np.flatnonzero(words.end - words.start >= 3)
             yield words, usable, lo + tk.owner(words.first, len(words))[usable]
 
-    held = []  # (hash, in a toxic text) once a text
+    held, long = [], []  # (hash, in a toxic text) once a text; hashes of words of 4 bytes and more
     for words, usable, of in chunks():
         order = np.lexsort((words.hash[usable], of))
         h, t = words.hash[usable][order], of[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
         held.append((h[fresh], toxic[t[fresh]]))
+        long.append(np.unique(words.hash[words.end - words.start >= 4]))
     hashes, inverse = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
     in_toxic = np.concatenate([t for _, t in held])
     bad, good = np.bincount(inverse, in_toxic, len(hashes)), np.bincount(inverse, ~in_toxic, len(hashes))
     lift = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((~toxic).sum() + 1))
     expected = (bad + good) * toxic.mean()
-    telling = np.flatnonzero((lift > 1.5) & (bad >= 5) & (bad - expected > 4 * np.sqrt(expected)))
+    telling = np.flatnonzero((lift > 1.5) & (bad >= LEAST) & (bad - expected > 4 * np.sqrt(expected)))
     telling = telling[np.lexsort((hashes[telling], -(bad * lift)[telling]))][: 12 * TOXIC_LANDMARKS]
-    plain = np.flatnonzero(lift < 0.5)
+    plain = np.flatnonzero((lift < 0.5) & np.isin(hashes, np.concatenate(long)))  # short ones are near too much
     plain = plain[np.lexsort((hashes[plain], -(good + bad)[plain]))][: 12 * PLAIN_LANDMARKS]
     looked_for = np.sort(hashes[np.concatenate([telling, plain])])
     text_of: dict[int, bytes] = {}

@@ -657,6 +657,23 @@ def test_toxicity(spark, texts, empty):
     assert len({r.score for r in toxicity_scores(df, labels.limit(0)).collect()}) == 1
 
 
+def test_toxic_short_words_and_spaced_letters():
+    import pyarrow as pa
+
+    from collatrix.llm import op10_toxicity as o
+    from collatrix.llm import tokens as tk
+
+    found = o.Segments(*tk.utf8(pa.array(["a g r ü m p é b", "日 本 word", "", "x"], pa.large_string())))
+    segments = [found.data[a:b].tobytes().decode() for a, b in zip(found.start, found.end, strict=True)]
+    assert sorted(segments) == sorted(["a g r ü m p é b", "日 本", "word", "x"])
+    rng = random.Random(13)
+    plain = [" ".join(rng.choice(["lami", "tore", "sune", "the", "kavo"]) for _ in range(20)) for _ in range(200)]
+    toxic = np.arange(200) % 10 == 0
+    texts = [t + (" zug" if bad else "") for t, bad in zip(plain, toxic, strict=True)]
+    scores = o.fit(texts, toxic).score(*tk.utf8(pa.array([*texts, "you ZUG", "you", ""], pa.large_string())))
+    assert list(scores >= 0.5) == [*toxic, True, False, False]
+
+
 # pipeline ---------------------------------------------------------------------------------------
 
 
