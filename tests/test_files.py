@@ -171,6 +171,25 @@ def test_parts_are_read_in_few_jobs(spark, tmp_path):
     assert jobs[1] <= jobs[0] + 2
 
 
+@pytest.fixture
+def far_tasks(monkeypatch):
+    """The engine takes the session for one whose tasks run on other machines."""
+    from collatrix import engine
+
+    monkeypatch.setattr(engine, "local_master", lambda _: False)
+
+
+def test_other_encodings_on_a_cluster(spark, tmp_path, far_tasks):
+    (tmp_path / "x").write_text("é\na\n")
+    for encoding in ("utf-8-bom", "utf-16le", "latin-1"):
+        run(spark, SortSpec(input=str(tmp_path / "x"), output=str(tmp_path / encoding), format="string", encoding_out=encoding))
+        assert (tmp_path / encoding).read_bytes() == mark_of(encoding) + encode("a\né\n", encoding)
+    run(spark, SortSpec(input=str(tmp_path / "x"), output=str(tmp_path / "folder"), format="string"))
+    assert (tmp_path / "folder").is_dir()
+    with pytest.raises(UsageError):
+        run(spark, SortSpec(input=str(tmp_path / "x"), output=str(tmp_path / "f"), format="string", encoding_out="latin-1", output_layout="folder"))
+
+
 @pytest.mark.parametrize("name", sorted(files.ORACLES))
 def test_file_queries(spark, name):
     duckdb = pytest.importorskip("duckdb")
