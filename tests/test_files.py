@@ -24,6 +24,7 @@ from collatrix.generate import write_fixture, xorshift
 from collatrix.operators.split import _walk
 from collatrix.plans import files
 from collatrix.sources.sample import split_quoted
+from collatrix.sources.xlsx import read_sheet
 from collatrix.spec import SortSpec
 from collatrix.staging import scope, stage
 
@@ -190,6 +191,14 @@ def test_other_encodings_on_a_cluster(spark, tmp_path, far_tasks):
         run(spark, SortSpec(input=str(tmp_path / "x"), output=str(tmp_path / "f"), format="string", encoding_out="latin-1", output_layout="folder"))
 
 
+def test_spreadsheets_on_a_cluster(spark, tmp_path, far_tasks):
+    (tmp_path / "x").write_text("b,1\na,2\n")
+    run(spark, SortSpec(input=str(tmp_path / "x"), output=str(tmp_path / "o.xlsx"), format="csv", keys=(0,), header=False, delimiter=","))
+    assert list(read_sheet((tmp_path / "o.xlsx").read_bytes())) == [["a", "2"], ["b", "1"]]
+    with pytest.raises(UsageError):
+        run(spark, SortSpec(input=str(tmp_path / "x"), output=str(tmp_path / "p.xlsx"), format="string", output_layout="folder"))
+
+
 @pytest.mark.parametrize("name", sorted(files.ORACLES))
 def test_file_queries(spark, name):
     duckdb = pytest.importorskip("duckdb")
