@@ -8,6 +8,7 @@ import os
 import random
 import struct
 import time
+import zipfile
 
 import numpy as np
 import pytest
@@ -24,6 +25,7 @@ from collatrix.generate import write_fixture, xorshift
 from collatrix.operators.split import _walk
 from collatrix.plans import files
 from collatrix.sources.sample import split_quoted
+from collatrix.sources.scan import decoded_lines
 from collatrix.sources.xlsx import read_sheet
 from collatrix.spec import SortSpec
 from collatrix.staging import scope, stage
@@ -199,6 +201,19 @@ def test_spreadsheets_on_a_cluster(spark, tmp_path, far_tasks):
         run(spark, SortSpec(input=str(tmp_path / "x"), output=str(tmp_path / "p.xlsx"), format="string", output_layout="folder"))
 
 
+def test_zip_on_a_cluster(spark, tmp_path, far_tasks):
+    """Line counts at and beside whole blocks of 10,000, and none."""
+    for many in (0, 9_999, 10_000, 20_000, 20_001):
+        lines = [f"{i:05d}\n" for i in range(many)]
+        with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+            z.writestr("x", "".join(reversed(lines)))
+        run(spark, SortSpec(input=str(tmp_path / "x.zip"), output=str(tmp_path / "o.zip"), format="string", verify=True, force=True))
+        with zipfile.ZipFile(tmp_path / "o.zip") as z:
+            assert [z.read(n).decode() for n in z.namelist()] == ["".join(lines)]
+        (tmp_path / "x.txt").write_bytes(mark_of("utf-16le") + encode("".join(lines), "utf-16le"))
+        assert decoded_lines(spark, str(tmp_path / "x.txt"), "utf-16le").count() == many
+
+
 @pytest.mark.parametrize("name", sorted(files.ORACLES))
 def test_file_queries(spark, name):
     duckdb = pytest.importorskip("duckdb")
