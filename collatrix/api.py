@@ -75,7 +75,8 @@ class Service:
         if not asked.get("input") or not asked.get("output"):
             raise Refused(400, "input and output are needed")
         try:
-            return SortSpec(input=str(self.path(asked["input"])), output=str(self.path(asked["output"], exists=False)), force=True, **options)
+            # a result is downloaded, so it is no folder on any master
+            return SortSpec(input=str(self.path(asked["input"])), output=str(self.path(asked["output"], exists=False)), force=True, output_layout="file", **options)
         except (UsageError, TypeError, ValueError) as e:
             raise Refused(400, str(e)) from e
 

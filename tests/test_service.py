@@ -60,6 +60,18 @@ def test_jobs(call, tmp_path):
     assert "out.csv" in {f["name"] for f in call("/api/files")[1]} and call("/none")[0] == 404
 
 
+def test_results_on_a_cluster(call, monkeypatch):
+    """A result can be downloaded where the tasks run on other machines, too."""
+    from collatrix import engine
+
+    monkeypatch.setattr(engine, "local_master", lambda _: False)
+    name = call("/api/upload?filename=x.txt", b"b\nc\na\n")[1]["path"]
+    job = call("/api/sort", {"input": name, "output": "out.txt", "format": "string", "verify": True})[1]["id"]
+    while (status := call(f"/api/job/{job}")[1]["status"]) in ("queued", "running"):
+        time.sleep(0.1)
+    assert status == "done" and call(f"/api/job/{job}/result") == (200, b"a\nb\nc\n")
+
+
 def test_generator(spark):
     for kind in ("numeric", "string", "csv"):
         one = [bytes(r.value) if kind == "numeric" else r.value for r in generate(spark, 50, kind, 3).orderBy("_rid").collect()]
