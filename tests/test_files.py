@@ -25,7 +25,7 @@ from collatrix.generate import write_fixture, xorshift
 from collatrix.operators.split import _walk
 from collatrix.plans import files
 from collatrix.sources.sample import split_quoted
-from collatrix.sources.scan import decoded_lines
+from collatrix.sources.scan import decoded_lines, physical_lines
 from collatrix.sources.xlsx import read_sheet
 from collatrix.spec import SortSpec
 from collatrix.staging import scope, stage
@@ -214,6 +214,31 @@ def test_zip_on_a_cluster(spark, tmp_path, far_tasks):
         assert decoded_lines(spark, str(tmp_path / "x.txt"), "utf-16le").count() == many
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Sorted tables have as many ranges as there are shuffle partitions, so folders have many parts."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_files_of_a_folder_follow_by_name(spark, tmp_path):
+    folder = tmp_path / "a b"  # names are URL-encoded in places
+    folder.mkdir()
+    lines = [[f"{i} {j}" for j in range(many)] for i, many in enumerate((1, 900, 3, 5000, 0, 40))]
+    for i, some in enumerate(lines):
+        (folder / f"part-{i}é.txt").write_text("".join(x + "\r\n" for x in some))
+    rows = physical_lines(spark, str(folder), 7).orderBy("_rid").collect()
+    assert [r.value for r in rows] == [x for some in lines for x in some] and rows[0]._rid.file == 7
+    rows = physical_lines(spark, str(folder / "part-1é.txt"), 7).orderBy("_rid").collect()
+    assert [r.value for r in rows] == lines[1] and {r._rid.file for r in rows} == {7}
+
+
+def test_delimited_file_on_a_cluster(spark, far_tasks, small_ranges):
+    found = [r.line for r in files.file_csv_detected(spark, "/root/testdata/sf0.01").orderBy("pos").collect()]
+    assert found[0] == "name;nation;segment" and found[1:] == sorted(found[1:], key=lambda x: (int(x.split(";")[1]), x))
+
+
 @pytest.mark.parametrize("name", sorted(files.ORACLES))
 def test_file_queries(spark, name):
     duckdb = pytest.importorskip("duckdb")
