@@ -252,3 +252,9 @@ def test_file_queries(spark, name):
     assert names == sorted(d[0] for d in expected.description)
     places = [[d[0] for d in expected.description].index(n) for n in names]
     assert sorted((tuple(r[n] for n in names) for r in found.collect()), key=repr) == sorted((tuple(r[i] for i in places) for r in expected.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["file_gzip"])
+def test_file_queries_on_a_cluster(spark, far_tasks, small_ranges, name):
+    """Folders of several parts, read in order."""
+    test_file_queries(spark, name)
