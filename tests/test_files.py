@@ -29,6 +29,7 @@ from collatrix.sources.scan import decoded_lines, physical_lines
 from collatrix.sources.xlsx import read_sheet
 from collatrix.spec import SortSpec
 from collatrix.staging import scope, stage
+from collatrix.streaming.watch import watch
 
 
 def test_quoted_fields_follow_the_state_machine(spark):
@@ -267,3 +268,11 @@ def test_json_lines_on_a_cluster(spark, far_tasks, small_ranges):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(found) == 10_000 and found == sorted(found, key=lambda x: (-int(x["user"]["age"]), x["id"]))
+
+
+def test_watched_folder_on_a_cluster(spark, tmp_path, far_tasks):
+    """One sorted file for each file that arrives, where the tasks run on other machines, too."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.txt").write_text("b\na\n")
+    watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), SortSpec(input="-", output="-", format="string"), str(tmp_path / "state"), existing=True).awaitTermination()
+    assert (tmp_path / "out" / "sorted-x.txt").read_text() == "a\nb\n"
